@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.operators import instants
+from fieldmark.operators import instants, profile, spikes
 from fieldmark.sources import read_table
 
 
@@ -24,5 +24,43 @@ def p1_statuses(spark: SparkSession, d: str) -> DataFrame:
     return _starts(spark, d).groupBy("basis", "kickoff_status", "wall_status").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_statuses": p1_statuses}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return profile.p3_found(spark, profile.warehouse_sources(d))
+
+
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of every column of both tables."""
+    a, b = (profile.column_profile(spark, s) for s in profile.warehouse_sources(d))
+    return a.unionByName(b)
+
+
+def p3_loads(spark: SparkSession, d: str) -> DataFrame:
+    """The profile of every numeric column and load of both tables."""
+    a, b = (profile.load_profile(spark, s) for s in profile.warehouse_sources(d))
+    return a.unionByName(b).withColumn("mean", F.round("mean", 3))
+
+
+def _faults(spark: SparkSession, d: str) -> DataFrame:
+    matches, venues = read_table(spark, d, "matches"), read_table(spark, d, "venues")
+    return spikes.flag(spikes.weather_readings(read_table(spark, d, "match_weather"), matches, venues, _starts(spark, d)))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.p7_found(_faults(spark, d))
+
+
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    """How many readings of each source and field have each fault."""
+    return _faults(spark, d).groupBy("source", "field", "fault").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_statuses": p1_statuses,
+    "p3_found": p3_found,
+    "p3_columns": p3_columns,
+    "p3_loads": p3_loads,
+    "p7_found": p7_found,
+    "p7_faults": p7_faults,
+}
 SQL: dict[str, str] = {}
