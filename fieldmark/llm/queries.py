@@ -3,6 +3,32 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from fieldmark.llm import leaks, lookalike
+from fieldmark.sources import read_table
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.p8_found(leaks.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents leak each item, and the largest share of it."""
+    found = leaks.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.round(F.max("share"), 4).alias("largest_share"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.p10_found(read_table(spark, d, "documents"))
+
+
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of more than one spelling: their documents and spellings, by the smallest id."""
+    c = lookalike.classes(read_table(spark, d, "documents"))
+    sizes = c.groupBy("form").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("raw").alias("spellings"))
+    return sizes.where("spellings > 1").drop("form")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_classes": p10_classes}
 SQL: dict[str, str] = {}
