@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.plans.blocks import in_blocks
+from fieldmark.plans.lineage import cut
 
 #: What the readings can be at all. Everything within is judged against its source.
 BOUNDS = {"temp_c": (-90.0, 57.0), "wind_gust_kmh": (0.0, 410.0), "precip_mm": (0.0, 900.0), "humidity_pct": (0.0, 100.0)}
@@ -58,7 +59,10 @@ def departures(readings: DataFrame) -> DataFrame:
     """``readings`` with ``_u_<field>``. Needs the columns source, place, band, month and hour."""
     df = readings.select("*", *[_scaled(f).alias(f"_u_{f}") for f in FIELDS])
     df = df.withColumns({"_source": F.coalesce("source", F.lit("")), "_place": F.coalesce("place", F.lit(-1)), "_season": F.coalesce(F.col("band") * 100 + F.col("month"), F.lit(-99999)), "_hour": F.coalesce(F.floor(F.col("hour") / 2), F.lit(-1))})
-    for keys in ([], ["_season"], ["_place"], ["_hour"], ["_season"], ["_place"]):
+    for k, keys in enumerate(([], ["_season"], ["_place"], ["_hour"], ["_season"], ["_place"])):
+        if k % 2 == 0:
+            # each sweep reads its input twice; without a cut the plan would double with every sweep
+            df = cut(df)
         by = ["_source", *keys]
         effect = df.groupBy(*by).agg(*[F.struct(F.percentile_approx(f"_u_{f}", 0.5, 1000).alias("m"), F.count(f"_u_{f}").alias("n")).alias(f"_e_{f}") for f in FIELDS])
         shrunk = [(F.col(f"_e_{f}.m") * (F.col(f"_e_{f}.n") / (F.col(f"_e_{f}.n") + (SHRINK if keys else 0)))).alias(f"_e_{f}") for f in FIELDS]
