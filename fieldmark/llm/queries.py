@@ -5,10 +5,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import leaks, lookalike
+from fieldmark.llm import canonical, leaks, lookalike, matching
 from fieldmark.sources import read_table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.p4_found(*(read_table(spark, d, t) for t in ("coach_observations", "teams", "venue_geodata", "venues")))
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed team names that name no team, and how many observations have each."""
+    o = read_table(spark, d, "coach_observations").select("id", F.col("raw_team").alias("value")).distinct()
+    found = canonical.team_targets(o.select("value"), read_table(spark, d, "teams").where("competition_id = 1"))
+    return o.join(found.where("target is null"), "value").groupBy("value").agg(F.count("*").alias("n"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.p6_found(_matched(spark, d))
+
+
+def p6_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many observations were matched at each tenth of confidence."""
+    return _matched(spark, d).groupBy(F.floor(F.col("confidence") * 10).cast("int").alias("tenth")).agg(F.count("*").alias("n"))
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match(*(read_table(spark, d, t) for t in ("coach_observations", "teams", "matches")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.p8_found(leaks.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")))
 
@@ -30,5 +54,5 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.where("spellings > 1").drop("form")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_classes": p10_classes}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p6_confidence": p6_confidence, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_classes": p10_classes}
 SQL: dict[str, str] = {}
