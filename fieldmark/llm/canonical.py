@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.segments import segment_join, typing_edits
+from fieldmark.plans.lineage import cut
 
 #: Score from which an entry counts as meant, and least similarity of a repaired token.
 LEAST_SCORE, LEAST_SIMILARITY = 0.45, 0.6
@@ -45,11 +46,14 @@ def _tokens(text: Column) -> Column:
 def rank(values: DataFrame, entries: DataFrame) -> DataFrame:
     """(value, target, score, runner_up) for each distinct ``value``: the targets of ``entries``
     (name, target), best first; one row a value and target that share a token."""
+    # tables of distinct tokens are read many times below: each is computed once
     v = values.select("value").where("value is not null").distinct().withColumn("t", F.explode(_tokens(folded(F.col("value"))))).select("value", "t.token", "t.parts").distinct()
+    v = cut(v)
     e = entries.select("name", "target").distinct().withColumn("t", F.explode(_tokens(folded(F.col("name"))))).select("name", "target", "t.token", "t.parts").distinct()
+    e = cut(e)
     n = entries.select("name").distinct().count()
     singles = e.where("size(parts) = 1").select("name", "target", "token")
-    weights = singles.groupBy("token").agg(F.log(F.lit(1.0 + n) / F.count_distinct("name")).alias("w"))
+    weights = cut(singles.groupBy("token").agg(F.log(F.lit(1.0 + n) / F.count_distinct("name")).alias("w")))
     norms = singles.join(weights, "token").groupBy("name", "target").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     repaired = segment_join(v.select(F.col("token").alias("text")), e.select(F.col("token").alias("text")))
     # shortened words ("Wal", "Res"): a typed token of three letters or more that begins a reference token
@@ -57,7 +61,7 @@ def rank(values: DataFrame, entries: DataFrame) -> DataFrame:
     starts = singles.where("length(token) > 3").select(F.col("token").alias("right")).distinct().withColumn("head", F.explode(F.transform(F.sequence(F.lit(3), F.length("right") - 1), lambda k: F.substring(F.col("right"), F.lit(1), k))))
     short = heads.join(starts, F.col("left") == F.col("head")).select("left", "right", F.lit(0.8).alias("similarity"))
     near = repaired.select("left", "right", (1 - F.when(F.col("edits") < 2, F.col("edits")).otherwise(typing_edits(F.col("left"), F.col("right"))) / F.greatest(F.length("left"), F.length("right"))).alias("similarity")).unionByName(short)
-    near = near.where(F.col("similarity") >= LEAST_SIMILARITY).groupBy("left", "right").agg(F.max("similarity").alias("similarity"))
+    near = cut(near.where(F.col("similarity") >= LEAST_SIMILARITY).groupBy("left", "right").agg(F.max("similarity").alias("similarity")))
     # a typed token repairs one or, where the blank was lost, two tokens of the entry; two typed tokens
     # as one repair a single token. Two as one against two as one say nothing that they do not say alone.
     hits = v.join(near, F.col("token") == F.col("left")).select("value", "right", "similarity", F.size("parts").alias("n_parts"))
@@ -71,7 +75,7 @@ def rank(values: DataFrame, entries: DataFrame) -> DataFrame:
     own = v_single.join(known, F.col("token") == F.col("left"), "left").join(healed, ["value", "token"], "left").groupBy("value").agg(F.sqrt(F.sum(F.pow(F.coalesce("w", "healed", F.lit(UNKNOWN) * F.log(F.lit(1.0 + n))), F.lit(2)))).alias("v_norm"))
     dots = best.groupBy("value", "name", "target").agg(F.sum(F.col("w") * F.col("w") * F.col("similarity")).alias("dot"), (F.max(F.col("w") * F.col("similarity")) / F.log(F.lit(1.0 + n))).alias("strongest"))
     scored = dots.join(norms, ["name", "target"]).join(own, "value").where("norm > 0 AND v_norm > 0").withColumn("score", F.least(F.col("dot") / (F.col("norm") * F.col("v_norm")), F.lit(1.0)))
-    return scored.groupBy("value", "target").agg(F.max("score").alias("score"), F.max("strongest").alias("strongest"))
+    return cut(scored.groupBy("value", "target").agg(F.max("score").alias("score"), F.max("strongest").alias("strongest")))
 
 
 def accepted() -> Column:

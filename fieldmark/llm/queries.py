@@ -5,10 +5,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import canonical, leaks, lookalike, matching
+from fieldmark.llm import canonical, leaks, lookalike, matching, mixing, persons, survivors
+from fieldmark.plans.lineage import cut
 from fieldmark.sources import read_table
 
 
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    return cut(survivors.persons(read_table(spark, d, "players")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    tables = (read_table(spark, d, t) for t in ("coach_observations", "coach_external_ids", "brownlow_player_records", "teams", "players", "player_match_stats"))
+    return persons.p2_found(*tables, _people(spark, d))
+
+
+def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many vote records are linked to persons with how many records."""
+    v = persons.vote_persons(*(read_table(spark, d, t) for t in ("brownlow_player_records", "players", "player_match_stats")), _people(spark, d))
+    return v.groupBy("person_id").agg(F.count("*").alias("records")).groupBy("records").agg(F.count("*").alias("persons"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.p5_found(_people(spark, d))
+
+
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.survivors(read_table(spark, d, "players"), _people(spark, d))
+
+
+def p5_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Statistic lines and line-up places of each person with several ids, once re-pointed to the person."""
+    people = _people(spark, d)
+    several = people.groupBy("person_id").agg(F.count("*").alias("ids")).where("ids > 1")
+    lines = survivors.repointed(read_table(spark, d, "player_match_stats").select("match_id", "player_id").distinct(), people).groupBy("player_id").agg(F.count("*").alias("lines"), F.count_distinct("match_id").alias("matches"))
+    places = survivors.repointed(read_table(spark, d, "match_lineups").select("match_id", "player_id").distinct(), people).groupBy("player_id").agg(F.count_distinct("match_id").alias("listed"))
+    return several.join(lines, several.person_id == lines.player_id, "left").drop("player_id").join(places, F.col("person_id") == places.player_id, "left").drop("player_id").na.fill(0)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.report(*mixing.schedule(read_table(spark, d, "documents"), read_table(spark, d, "source_targets")))
+
+
+def p9_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: every use of every document, by slot."""
+    return mixing.schedule(read_table(spark, d, "documents"), read_table(spark, d, "source_targets"))[0]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.p4_found(*(read_table(spark, d, t) for t in ("coach_observations", "teams", "venue_geodata", "venues")))
 
@@ -54,5 +97,5 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.where("spellings > 1").drop("form")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_unmatched": p4_unmatched, "p6_found": p6_found, "p6_confidence": p6_confidence, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_classes": p10_classes}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_sizes, p4_found, p4_unmatched, p5_found, p5_survivors, p5_lines, p6_found, p6_confidence, p8_found, p8_items, p9_mixture, p9_schedule, p10_found, p10_classes)}
 SQL: dict[str, str] = {}

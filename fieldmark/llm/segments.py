@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.plans.lineage import cut
+
 
 def edits_allowed(length: Column, longest: int = 4) -> Column:
     """Edits that a typed token of this length may hold: 0 up to 3 letters, 1 up to 5, 2 up to 7, 3
@@ -65,9 +67,9 @@ def segment_join(left: DataFrame, right: DataFrame, longest: int = 4) -> DataFra
 
     Null and empty strings match nothing; repeated strings count once; equal strings have 0 edits.
     """
-    l_ = left.where("length(text) > 0").select(F.col("text").alias("l")).distinct()
+    l_ = cut(left.where("length(text) > 0").select(F.col("text").alias("l")).distinct())
     r = right.where("length(text) > 0").select(F.col("text").alias("r")).distinct().withColumn("k", edits_allowed(F.length("r"), longest).cast("int"))
-    index = r.select("r", "k", F.explode(_segments(F.col("r"), F.col("k"))).alias("s")).select("r", "k", F.length("r").alias("n"), "s.number", "s.at", "s.segment")
+    index = cut(r).select("r", "k", F.explode(_segments(F.col("r"), F.col("k"))).alias("s")).select("r", "k", F.length("r").alias("n"), "s.number", "s.at", "s.segment")
     # only those forms of the index (length, k, number, place, length of segment) that occur are probed
     forms = index.select("n", "k", "number", "at", F.length("segment").alias("m")).distinct()
     probes = l_.withColumn("ln", F.length("l")).join(forms, (F.col("ln") >= F.col("n") - F.col("k")) & (F.col("ln") <= F.col("n") + F.col("k")))
