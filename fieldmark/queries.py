@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import instants, profile, spikes
+from fieldmark.plans import warehouse as wh
+from fieldmark.plans import warehouse_sql
 from fieldmark.sources import read_table
 
 
@@ -54,13 +56,13 @@ def p7_faults(spark: SparkSession, d: str) -> DataFrame:
     return _faults(spark, d).groupBy("source", "field", "fault").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found,
-    "p1_statuses": p1_statuses,
-    "p3_found": p3_found,
-    "p3_columns": p3_columns,
-    "p3_loads": p3_loads,
-    "p7_found": p7_found,
-    "p7_faults": p7_faults,
-}
-SQL: dict[str, str] = {}
+def _on_warehouse(f: Callable[..., DataFrame], *args) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(wh.Warehouse(spark, d), *args)
+
+
+PROBLEMS = {f.__name__: f for f in (p1_found, p1_statuses, p3_found, p3_columns, p3_loads, p7_found, p7_faults)}
+WAREHOUSE = {f.__name__: _on_warehouse(f) for f in (wh.ladder, wh.match_names, wh.grand_finals, wh.career_arc, wh.source_comparisons, wh.lineup_changes, wh.wet_games, wh.tipping, wh.season_value, wh.coverage, wh.match_inventory, wh.audit, wh.weather_sanity, wh.birth_coverage)}
+WAREHOUSE |= {f"integrity_{k}": _on_warehouse(wh.integrity, k) for k in ("margin", "match_points", "quarter_scores", "disposals", "clearances", "votes")}
+WAREHOUSE["season_value_known"] = _on_warehouse(wh.season_value, False)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = PROBLEMS | WAREHOUSE
+SQL: dict[str, str] = dict(warehouse_sql.SQL)
