@@ -97,4 +97,7 @@ SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE temp_c IS NULL) AS no_
     "birth_coverage": f"""
 WITH {M}, x AS (SELECT code, player_id, max(year) AS y FROM player_match_stats s JOIN m ON m.id = s.match_id GROUP BY 1, 2), a AS (SELECT code, y, CAST(substr(date_of_birth, 1, 4) AS INT) AS b FROM x JOIN players p ON p.id = x.player_id)
 SELECT code, count(*) AS n_players, count(b) AS with_birth, count(*) FILTER (WHERE y - b NOT BETWEEN 15 AND 45) AS odd_ages, min(y - b) AS youngest, max(y - b) AS oldest FROM a GROUP BY 1""",
+    "coverage": f"""
+WITH {M}, {S}, x AS (SELECT code, year, count(*) AS n_rows, count(COLUMNS(s.* EXCLUDE (id, match_id, player_id, team_id, load_no, rn))) FROM s JOIN m ON m.id = s.match_id GROUP BY code, year)
+SELECT code, year, column_name, n_rows, known, round(CAST(known AS DOUBLE) / n_rows, 6) AS ratio FROM (UNPIVOT x ON COLUMNS(* EXCLUDE (code, year, n_rows)) INTO NAME column_name VALUE known)""",
 }
