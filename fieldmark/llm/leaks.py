@@ -40,6 +40,7 @@ LEAST_SHARE, MOST_REPLACED = 0.5, 0.1
 #: What a replaced, missing or added word costs in an alignment against 1 for a match, and the words
 #: by which chance may exceed the replaced share in a short passage.
 COST, SLACK = 3, 2
+REACH = 8
 #: Items aligned with one document at a time: bounds the memory of the alignment.
 ALIGNED_AT_ONCE = 64
 #: Words of items that one pass holds in memory (about 100 bytes each).
@@ -123,16 +124,35 @@ def passages(items: list[np.ndarray], doc: np.ndarray) -> list[tuple[int, int]]:
     out = []
     for c in range(k):
         i, j = where[c]
+        last_i, last_j = i, j
         covered = replaced = 0
         while i > 0 and j > 0 and step[i, c, j]:
             s = step[i, c, j]
             covered += s != 3
             replaced += s == 2 or (s == 1 and word[i - 1, c] != doc[j - 1])
             i, j = i - (s != 3), j - (s != 2)
+        if covered:
+            for here, there, way in ((i, j, -1), (last_i - 1, last_j - 1, 1)):
+                covered, replaced = _extended(items[c], doc, int(here), int(there), way, covered, replaced)
         out.append((int(covered), int(replaced)))
     return out
 
 
+def _extended(item: np.ndarray, doc: np.ndarray, i: int, j: int, way: int, covered: int, replaced: int) -> tuple[int, int]:
+    """The counts with the passage drawn out from word i, j: an alignment that pays for every replaced
+    word gives up an end of it, up to REACH words, that a replaced word cuts off."""
+    best, more, wrong = (covered, replaced), 0, 0
+    for step in range(1, REACH + 1):
+        a, b = (i - step, j - step) if way < 0 else (i + step, j + step)
+        if not (0 <= a < len(item) and 0 <= b < len(doc)):
+            break
+        more += 1
+        wrong += int(item[a] != doc[b])
+        if item[a] == doc[b] and replaced + wrong <= MOST_REPLACED * (covered + more):
+            best = (covered + more, replaced + wrong)
+    return best
+
+
 class Items:
     """Test items prepared for the search: their codes and a sorted table of window hashes."""
 
