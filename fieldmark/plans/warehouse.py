@@ -208,8 +208,10 @@ def player_value(matches: DataFrame, stats: DataFrame, require_complete: bool =
     shares = players.join(totals, ["season_id", "team_id"]).join(pools, ["season_id", "team_id"]).join(complete, "season_id")
     value = {x: F.col(x) / F.col(f"team_{x}") * F.col(f"pool_{x}") for x in ("off", "mid", "def")}
     known = F.col("complete") | F.lit(not require_complete)
-    rounded = [F.when(known, F.round(v, 2)).alias(f"{x}_value") for x, v in value.items()]
-    return shares.select("season_id", "player_id", "team_id", *rounded, F.when(known, F.round(value["off"] + value["mid"] + value["def"], 2)).alias("total_value"))
+    value["total"] = value["off"] + value["mid"] + value["def"]
+    # no negative zero
+    rounded = [F.when(known, F.when(F.round(v, 2) == 0, 0.0).otherwise(F.round(v, 2))).alias(f"{x}_value") for x, v in value.items()]
+    return shares.select("season_id", "player_id", "team_id", *rounded)
 
 
 def season_value(w: Warehouse, require_complete: bool = True) -> DataFrame:

@@ -31,8 +31,7 @@ k AS (SELECT season_id, team_id, player_id,
   sum(20 * rebounds + 12 * one_percenters + marks - 4 * marks_inside_fifty + 2 * (free_kicks_for - free_kicks_against) - CAST(2 AS DOUBLE) / 3 * hitouts) AS de FROM f GROUP BY 1, 2, 3),
 kt AS (SELECT season_id, team_id, nullif(CAST(sum(o) AS DOUBLE), 0) AS o_all, nullif(CAST(sum(mi) AS DOUBLE), 0) AS m_all, nullif(sum(de), 0) AS d_all FROM k GROUP BY 1, 2),
 v AS (SELECT k.season_id, k.player_id, k.team_id, complete, o / o_all * po AS o, mi / m_all * pm AS mi, de / d_all * pd AS de FROM k JOIN kt USING (season_id, team_id) JOIN pool USING (season_id, team_id) JOIN done USING (season_id))
-SELECT season_id, player_id, team_id, CASE WHEN {known} THEN round(o, 2) END AS off_value, CASE WHEN {known} THEN round(mi, 2) END AS mid_value,
-  CASE WHEN {known} THEN round(de, 2) END AS def_value, CASE WHEN {known} THEN round(o + mi + de, 2) END AS total_value FROM v"""
+SELECT season_id, player_id, team_id, {", ".join(f"CASE WHEN {known} THEN CASE WHEN round({x}, 2) = 0 THEN 0 ELSE round({x}, 2) END END AS {name}_value" for x, name in (("o", "off"), ("mi", "mid"), ("de", "def"), ("o + mi + de", "total")))} FROM v"""
 
 
 SQL = {

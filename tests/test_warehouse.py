@@ -22,7 +22,7 @@ P8 2 M1 0 0 2 2 18 0 2 0 1 1 0 2 3 77 8
 P5 2 M2 1 1 4 5 0 1 4 0 2 1 2 0 5 88 20
 P6 2 M2 3 2 4 2 0 0 4 1 1 0 0 1 1 84 14
 P7 2 M2 0 0 6 3 0 0 1 0 1 1 8 4 2 90 16
-P8 2 M2 1 1 3 3 15 1 3 0 0 2 1 1 4 79 10
+P8 2 M2 1 0 3 3 15 1 3 0 0 2 1 1 4 79 10
 P1 1 M2 1 0 5 7 0 1 5 0 1 2 2 0 6 88 22
 P2 1 M2 4 1 5 1 0 1 5 3 2 1 0 1 0 87 16
 P3 1 M2 0 1 7 4 0 0 2 0 0 2 7 5 1 91 17
