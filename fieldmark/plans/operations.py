@@ -93,12 +93,20 @@ def provider_names(spark: SparkSession, d: str) -> DataFrame:
     return o.select("raw_team", labels.team_name(F.col("raw_team")).alias("team"), labels.is_placeholder(F.col("raw_team")).alias("placeholder"))
 
 
+def quarantined(spark: SparkSession, d: str) -> DataFrame:
+    """Observations whose team is a placeholder, with the pages that lose all their rows with them."""
+    o = read_table(spark, d, "coach_observations").select("id", "provider", "external_match_id", "raw_team").distinct()
+    held = o.where(labels.is_placeholder(F.trim("raw_team")))
+    left = o.join(held.select("id"), "id", "left_anti").select("provider", "external_match_id").distinct().withColumn("page_left", F.lit(True))
+    return held.join(left, ["provider", "external_match_id"], "left").select("id", F.coalesce("page_left", F.lit(False)).alias("page_left"))
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling hours of the events by type; the same function serves the stream."""
     return windowed(read_table(spark, d, "events"))
 
 
-QUERIES = {f.__name__: f for f in (merge_deliveries, merge_affected, merge_insert_missing, replace_groups, merged_identity, constraints, numbered_rows, hourly_windows, vote_lines, provider_names, event_windows)}
+QUERIES = {f.__name__: f for f in (merge_deliveries, merge_affected, merge_insert_missing, replace_groups, merged_identity, constraints, numbered_rows, hourly_windows, vote_lines, provider_names, quarantined, event_windows)}
 
 _PICK = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY load_no DESC NULLS LAST) AS rn FROM player_match_stats WHERE load_no % 2 = {}) WHERE rn = 1)"
 _MERGED = f"""
@@ -127,5 +135,8 @@ SELECT t.id, CASE WHEN count(*) FILTER (WHERE h.hour >= start) = 3 THEN CAST(sum
   CASE WHEN count(*) FILTER (WHERE h.hour < start) = 24 THEN CAST(sum(n) FILTER (WHERE h.hour < start) AS DOUBLE) END AS prior_precip,
   CASE WHEN count(*) FILTER (WHERE h.hour >= start) = 3 THEN round(max(g) FILTER (WHERE h.hour >= start), 2) END AS gust
 FROM t JOIN h ON h.series = t.series AND h.hour BETWEEN start - 24 * 3600 AND start + 2 * 3600 GROUP BY t.id""",
+    "quarantined": r"""WITH o AS (SELECT DISTINCT id, provider, external_match_id, raw_team FROM coach_observations),
+  h AS (SELECT * FROM o WHERE regexp_matches(trim(raw_team), '^\d{1,2}(st|nd|rd|th)$|^(winner|loser) of\b|-ranked\b.*\b(winner|loser)$|^(tbc|tba|to be confirmed)$', 'i'))
+  SELECT id, EXISTS (SELECT 1 FROM o WHERE o.provider = h.provider AND o.external_match_id = h.external_match_id AND o.id NOT IN (SELECT id FROM h)) AS page_left FROM h""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }

@@ -42,6 +42,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         "SELECT t.id AS team_id, count(*) AS matches FROM (SELECT explode(array(home_team_id, away_team_id)) AS team_id FROM {matches}) s JOIN {teams} t ON t.id = s.team_id GROUP BY t.id",
         "SELECT t.id AS team_id, count(*) AS matches FROM teams t JOIN matches m ON t.id = m.home_team_id OR t.id = m.away_team_id GROUP BY t.id",
     ),
+    "join_unrecovered": "SELECT e.event_id FROM {events} e WHERE e.event_type = 'click' AND NOT EXISTS (SELECT 1 FROM {events} r WHERE r.user_id = e.user_id AND r.event_type = 'purchase' AND r.event_id > e.event_id)",
     # aggregates
     "agg_basic": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_tax) AS lo, max(l_tax) AS hi FROM {lineitem} GROUP BY l_returnflag, l_linestatus",
     "agg_distinct": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT CASE WHEN l_quantity > 25 THEN l_partkey END) AS parts FROM {lineitem} GROUP BY l_returnflag",
@@ -82,6 +83,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "hash_sha256": ("SELECT doc_id, sha2(text, 256) AS h FROM {documents}", "SELECT doc_id, sha256(text) AS h FROM documents"),
     "date_add_text": ("SELECT o_orderkey, date_format(date_add(o_orderdate, -3), 'yyyy-MM-dd') AS d FROM {orders}", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - 3, '%Y-%m-%d') AS d FROM orders"),
     "julian_day": ("SELECT event_id, round(unix_timestamp(ts) / 86400D + 2440587.5D, 3) AS jd FROM {events}", "SELECT event_id, round(floor(epoch(ts)) / 86400 + 2440587.5, 3) AS jd FROM events"),
+    "melbourne_time": ("SELECT event_id, date_format(from_utc_timestamp(ts, 'Australia/Melbourne'), 'yyyy-MM-dd HH:mm:ss') AS local FROM {events} WHERE ts < timestamp '2024-03-01'", "SELECT event_id, strftime(ts + INTERVAL 11 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events WHERE ts < TIMESTAMP '2024-03-01'"),
     "name_form": ("SELECT id, regexp_replace(lower(coalesce(surname, '')), '[^a-z0-9]', '') AS plain FROM {players}", "SELECT id, regexp_replace(lower(coalesce(surname, '')), '[^a-z0-9]', '', 'g') AS plain FROM players"),
     "retry_hours": "SELECT o_orderkey, CAST(least(power(2, least(greatest(o_orderkey % 9, 1) - 1, 5)), 24) AS INT) AS hours FROM {orders}",
     "js_round": "SELECT match_id, kind, floor(temp_c * 10 + 0.5) / 10 AS t FROM {match_weather}",

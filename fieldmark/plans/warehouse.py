@@ -220,6 +220,30 @@ def season_value(w: Warehouse, require_complete: bool = True) -> DataFrame:
     return player_value(m, w.stats("match_id", "team_id", "player_id", "time_on_ground_pct", "disposals", *VALUE_INPUTS), require_complete)
 
 
+def team_values(w: Warehouse) -> DataFrame:
+    """Player values with the names of player and team."""
+    p = w.table("players").select(F.col("id").alias("player_id"), "first_name", "surname")
+    t = w.table("teams").select(F.col("id").alias("team_id"), F.col("name").alias("team"))
+    return season_value(w, False).join(p, "player_id").join(t, "team_id").select("season_id", "player_id", "first_name", "surname", "team", "total_value")
+
+
+def match_coaches(w: Warehouse) -> DataFrame:
+    """Matches of the first competition with the coaches that one provider names, where it does."""
+    o = w.table("coach_observations").where("provider = 'afl-tables' AND match_id is not null AND team_id is not null")
+    named = o.groupBy(F.col("match_id").alias("id"), "team_id").agg(F.min("display_name").alias("coach"))
+    home = named.select("id", F.col("team_id").alias("home_team_id"), F.col("coach").alias("home_coach"))
+    away = named.select("id", F.col("team_id").alias("away_team_id"), F.col("coach").alias("away_coach"))
+    m = w.matches().where("competition_id = 1").join(home, ["id", "home_team_id"], "left").join(away, ["id", "away_team_id"], "left")
+    return _named(w, m).select(F.col("id").alias("match_id"), "home_team", "away_team", "home_coach", "away_coach")
+
+
+def swapped_sides(w: Warehouse) -> DataFrame:
+    """Matches with home and away exchanged in every paired field and the margin's sign turned."""
+    m = w.table("matches")
+    other = {c: c.replace("home_", "away_") if c.startswith("home_") else c.replace("away_", "home_") for c in m.columns if c.startswith(("home_", "away_"))}
+    return m.select("id", (-F.col("margin")).alias("margin"), *[F.col(o).alias(c) for c, o in other.items()])
+
+
 def coverage(w: Warehouse) -> DataFrame:
     """Share of known values of every statistic by competition and season, in one aggregation."""
     columns = [c for c in w.table("player_match_stats").columns if c not in ("id", "match_id", "player_id", "team_id", "load_no")]

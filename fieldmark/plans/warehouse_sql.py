@@ -99,4 +99,11 @@ SELECT code, count(*) AS n_players, count(b) AS with_birth, count(*) FILTER (WHE
     "coverage": f"""
 WITH {M}, {S}, x AS (SELECT code, year, count(*) AS n_rows, count(COLUMNS(s.* EXCLUDE (id, match_id, player_id, team_id, load_no, rn))) FROM s JOIN m ON m.id = s.match_id GROUP BY code, year)
 SELECT code, year, column_name, n_rows, known, round(CAST(known AS DOUBLE) / n_rows, 6) AS ratio FROM (UNPIVOT x ON COLUMNS(* EXCLUDE (code, year, n_rows)) INTO NAME column_name VALUE known)""",
+    "team_values": f"""
+SELECT season_id, player_id, first_name, surname, t.name AS team, total_value FROM ({value_sql(False)}) v JOIN players p ON p.id = v.player_id JOIN teams t ON t.id = v.team_id""",
+    "match_coaches": f"""
+WITH {M}, o AS (SELECT match_id, team_id, min(display_name) AS coach FROM coach_observations WHERE provider = 'afl-tables' GROUP BY 1, 2)
+SELECT m.id AS match_id, h.name AS home_team, a.name AS away_team, hc.coach AS home_coach, ac.coach AS away_coach FROM m JOIN teams h ON h.id = home_team_id JOIN teams a ON a.id = away_team_id
+LEFT JOIN o hc ON hc.match_id = m.id AND hc.team_id = home_team_id LEFT JOIN o ac ON ac.match_id = m.id AND ac.team_id = away_team_id WHERE m.competition_id = 1""",
+    "swapped_sides": "SELECT id, -margin AS margin, " + ", ".join(f"{o}_{c} AS {s}_{c}" for s, o in (("home", "away"), ("away", "home")) for c in ("team_id", "goals", "behinds", "points", "rushed_behinds", "minutes_in_front", *(f"q{q}_{k}" for q in range(1, 5) for k in ("goals", "behinds")))) + " FROM matches",
 }

@@ -61,7 +61,7 @@ def _on_warehouse(f: Callable[..., DataFrame], *args) -> Callable[[SparkSession,
 
 
 PROBLEMS = {f.__name__: f for f in (p1_found, p1_statuses, p3_found, p3_columns, p3_loads, p7_found, p7_faults)}
-WAREHOUSE = {f.__name__: _on_warehouse(f) for f in (wh.ladder, wh.match_names, wh.grand_finals, wh.career_arc, wh.source_comparisons, wh.lineup_changes, wh.wet_games, wh.tipping, wh.season_value, wh.coverage, wh.match_inventory, wh.audit, wh.weather_sanity, wh.birth_coverage)}
+WAREHOUSE = {f.__name__: _on_warehouse(f) for f in (wh.ladder, wh.match_names, wh.grand_finals, wh.career_arc, wh.source_comparisons, wh.lineup_changes, wh.wet_games, wh.tipping, wh.season_value, wh.team_values, wh.match_coaches, wh.swapped_sides, wh.coverage, wh.match_inventory, wh.audit, wh.weather_sanity, wh.birth_coverage)}
 WAREHOUSE |= {f"integrity_{k}": _on_warehouse(wh.integrity, k) for k in ("margin", "match_points", "quarter_scores", "disposals", "clearances", "votes")}
 WAREHOUSE["season_value_known"] = _on_warehouse(wh.season_value, False)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = PROBLEMS | WAREHOUSE | relational.QUERIES | operations.QUERIES
