@@ -29,7 +29,7 @@ from fieldmark.llm.lookalike import transducer
 #: Words of a window, and words between the starts of a document's windows. Items have windows at
 #: every word, so that a passage of WINDOW + STRIDE words holds a document window that starts at the
 #: same word as an item window.
-WINDOW, STRIDE = 16, 4
+WINDOW, STRIDE = 16, 6
 #: Sampled places of each embedding and number of independent embeddings. With up to one word in ten
 #: replaced, a window keeps a sampled word with probability about 0.8 to 0.9; a passage of half an
 #: item has five to fifteen windows. Measured recall is in the README.
@@ -41,8 +41,10 @@ LEAST_SHARE, MOST_REPLACED = 0.5, 0.1
 #: by which chance may exceed the replaced share in a short passage.
 COST, SLACK = 3, 2
 REACH = 8
-#: Items aligned with one document at a time: bounds the memory of the alignment.
-ALIGNED_AT_ONCE = 64
+#: Words that a copyist may have added to a passage, and windows hashed at a time.
+ADDED, AT_ONCE = 6, 16_384
+#: Cells of the tables of one alignment, and words of a document aligned in one stretch.
+TABLE, LONGEST = 4_000_000, 20_000
 #: Words of items that one pass holds in memory (about 100 bytes each).
 MOST_ITEM_WORDS = 1_000_000
 
@@ -88,30 +90,30 @@ def sampled_hashes(sequence: np.ndarray, starts: np.ndarray, repeat: int) -> np.
     return out
 
 
-def passages(items: list[np.ndarray], doc: np.ndarray) -> list[tuple[int, int]]:
-    """For each item (words, replaced) of its best passage in the document: words of the item in order
+def passages(items: list[np.ndarray], docs: list[np.ndarray]) -> list[tuple[int, int]]:
+    """For each item and its document (words, replaced) of the best passage: words of the item in order
     within one passage, and how many of them are replaced or missing, by exact local alignment. A
-    matched word gains 1, a replaced, missing or added one costs COST. All items are aligned at once.
+    matched word gains 1, a replaced, missing or added one costs COST. All pairs are aligned at once.
     """
-    n, m, k = max(map(len, items)), len(doc), len(items)
-    word = np.zeros((n, k), dtype=np.uint64)
-    live = np.zeros((n, k), dtype=bool)
-    for c, item in enumerate(items):
+    n, m, k = max(map(len, items)), max(map(len, docs)), len(items)
+    word, live = np.zeros((n, k), dtype=np.uint64), np.zeros((n, k), dtype=bool)
+    there, real = np.zeros((k, m), dtype=np.uint64), np.zeros((k, m), dtype=bool)
+    for c, (item, doc) in enumerate(zip(items, docs, strict=True)):
         word[: len(item), c], live[: len(item), c] = item, True
+        there[c, : len(doc)], real[c, : len(doc)] = doc, True
     above = np.zeros((k, m + 1), dtype=np.int32)
     slope = COST * np.arange(m + 1, dtype=np.int32)
     step = np.zeros((n + 1, k, m + 1), dtype=np.int8)
     top, where = np.zeros(k, dtype=np.int32), np.zeros((k, 2), dtype=np.int64)
-    row = np.zeros((k, m + 1), dtype=np.int32)
     for i in range(n):
-        equal = (word[i][:, None] == doc[None, :]) & live[i][:, None]
-        diagonal = above[:, :-1] + np.where(equal, 1, -COST).astype(np.int32)
+        equal = (word[i][:, None] == there) & real & live[i][:, None]
+        diagonal = above[:, :-1] + np.where(equal, np.int32(1), np.int32(-COST))
         up = above[:, 1:] - COST
         row = np.zeros((k, m + 1), dtype=np.int32)
-        row[:, 1:] = np.maximum(np.maximum(diagonal, up), 0)
+        np.maximum(np.maximum(diagonal, up), 0, out=row[:, 1:])
         # added words along the row: running maximum of score + COST * place
         row = np.maximum.accumulate(row + slope, axis=1) - slope
-        kind = np.where(row[:, 1:] == up, 2, 3).astype(np.int8)
+        kind = np.where(row[:, 1:] == up, np.int8(2), np.int8(3))
         kind[row[:, 1:] == diagonal] = 1
         kind[row[:, 1:] == 0] = 0
         step[i + 1, :, 1:] = kind
@@ -129,11 +131,11 @@ def passages(items: list[np.ndarray], doc: np.ndarray) -> list[tuple[int, int]]:
         while i > 0 and j > 0 and step[i, c, j]:
             s = step[i, c, j]
             covered += s != 3
-            replaced += s == 2 or (s == 1 and word[i - 1, c] != doc[j - 1])
+            replaced += s == 2 or (s == 1 and word[i - 1, c] != there[c, j - 1])
             i, j = i - (s != 3), j - (s != 2)
         if covered:
-            for here, there, way in ((i, j, -1), (last_i - 1, last_j - 1, 1)):
-                covered, replaced = _extended(items[c], doc, int(here), int(there), way, covered, replaced)
+            for here, beside, way in ((i, j, -1), (last_i - 1, last_j - 1, 1)):
+                covered, replaced = _extended(items[c], docs[c], int(here), int(beside), way, covered, replaced)
         out.append((int(covered), int(replaced)))
     return out
 
@@ -153,13 +155,21 @@ def _extended(item: np.ndarray, doc: np.ndarray, i: int, j: int, way: int, cover
     return best
 
 
+def _pairs(codes_: np.ndarray) -> np.ndarray:
+    return _mix(codes_[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes_[1:]) if len(codes_) > 1 else codes_[:0]
+
+
 class Items:
     """Test items prepared for the search: their codes and a sorted table of window hashes."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = [k for k, c in items if len(c)]
         self.codes = [c for _, c in items if len(c)]
-        self.counts = [dict(zip(*(x.tolist() for x in np.unique(c, return_counts=True)), strict=True)) for c in self.codes]
+        # of each pair of adjacent words, the items that hold it and how often
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for k, c in enumerate(self.codes):
+            for pair, n in zip(*(x.tolist() for x in np.unique(_pairs(c), return_counts=True)), strict=True):
+                self.pairs.setdefault(pair, []).append((k, n))
         sequence = np.concatenate(self.codes) if self.codes else np.zeros(0, dtype=np.uint64)
         begin = np.cumsum([0, *map(len, self.codes)])
         spans = [begin[k] + np.arange(max(1, len(c) - WINDOW + 1), dtype=np.int64) for k, c in enumerate(self.codes)]
@@ -173,33 +183,59 @@ class Items:
     def candidates(self, sequence: np.ndarray, starts: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
         """Rows (document, item) that share a hash."""
         pairs = []
-        for repeat in range(REPEATS):
-            h = sampled_hashes(sequence, starts, repeat)
+        # so many windows at a time stay in a core's cache
+        for at, repeat in ((at, repeat) for at in range(0, len(starts), AT_ONCE) for repeat in range(REPEATS)):
+            h = sampled_hashes(sequence, starts[at : at + AT_ONCE], repeat)
+            owner_doc = doc_of[at : at + AT_ONCE]
             lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
             hit = np.flatnonzero(hi > lo)
             if len(hit):
                 n = hi[hit] - lo[hit]
                 flat = np.repeat(lo[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                pairs.append(np.unique(np.stack([np.repeat(doc_of[hit], n), self.owner[flat]], 1), axis=0))
+                pairs.append(np.unique(np.stack([np.repeat(owner_doc[hit], n), self.owner[flat]], 1), axis=0))
         return np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
 
 
+def least_pairs(words: int) -> float:
+    """Pairs of adjacent words that an item of so many words must share with a document that leaks it:
+    a passage of half of it has one less than its words; each replaced word breaks two, each of up to
+    ADDED added words one. This settles chance candidates before they are aligned."""
+    covered = LEAST_SHARE * words
+    return covered - 1 - 2 * (MOST_REPLACED * covered + SLACK) - ADDED
+
+
 def verify(found: Items, candidates: np.ndarray, docs: list[np.ndarray]) -> list[tuple[int, int, float]]:
     """(document, item, share) of the candidates that are leaks."""
-    out = []
+    likely: list[tuple[int, int, np.ndarray]] = []
     first = np.flatnonzero(np.r_[True, candidates[1:, 0] != candidates[:-1, 0]]) if len(candidates) else []
     for group in np.split(candidates, first[1:]) if len(candidates) else []:
-        doc = docs[group[0, 0]]
-        present, n = np.unique(doc, return_counts=True)
-        tally = list(zip(present.tolist(), n.tolist(), strict=True))
-        # so many words must be common to both at all; this settles many chance candidates exactly
-        likely = [i for i in group[:, 1] if sum(min(k, found.counts[i].get(w, 0)) for w, k in tally) >= LEAST_SHARE * (1 - MOST_REPLACED) * len(found.codes[i]) - 1]
-        for at in range(0, len(likely), ALIGNED_AT_ONCE):
-            some = likely[at : at + ALIGNED_AT_ONCE]
-            for i, (covered, replaced) in zip(some, passages([found.codes[i] for i in some], doc), strict=True):
-                share = covered / len(found.codes[i])
-                if share >= LEAST_SHARE and replaced <= MOST_REPLACED * covered + SLACK:
-                    out.append((int(group[0, 0]), int(i), share))
+        d = int(group[0, 0])
+        common: dict[int, int] = {}
+        for pair, n in zip(*(x.tolist() for x in np.unique(_pairs(docs[d]), return_counts=True)), strict=True):
+            for i, k in found.pairs.get(pair, ()):
+                common[i] = common.get(i, 0) + min(n, k)
+        near = [int(i) for i in group[:, 1] if common.get(i, 0) >= least_pairs(len(found.codes[i]))]
+        # a very long document is aligned in stretches that overlap by more than any passage
+        reach = 3 * max((len(found.codes[i]) for i in near), default=0)
+        likely += [(d, i, docs[d][a : a + LONGEST + reach]) for i in near for a in range(0, max(1, len(docs[d]) - reach), LONGEST)]
+    likely.sort(key=lambda x: (len(x[2]), x[0], x[1]))
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    at = 0
+    while at < len(likely):
+        # documents of like length share a table of bounded size
+        size, upto = 0, at
+        while upto < len(likely) and (upto == at or (upto - at + 1) * len(likely[upto][2]) * size <= TABLE):
+            size = max(size, len(found.codes[likely[upto][1]]))
+            upto += 1
+        some = likely[at:upto]
+        for (d, i, _), got in zip(some, passages([found.codes[i] for _, i, _ in some], [x for _, _, x in some]), strict=True):
+            best[d, i] = max(best.get((d, i), (0, 0)), got)
+        at = upto
+    out = []
+    for (d, i), (covered, replaced) in best.items():
+        share = covered / len(found.codes[i])
+        if share >= LEAST_SHARE and replaced <= MOST_REPLACED * covered + SLACK:
+            out.append((d, i, share))
     return out
 
 
