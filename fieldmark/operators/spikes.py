@@ -1,18 +1,20 @@
 """Implausible readings: bounds, phase-space spikes and stuck values, relative to each source.
 
 Method: readings are reduced to departures from what their source gives for the place, month and
-hour (medians, swept out in turn). The departures of a source, in order of fetching, are points in
-the space of value, first and second difference; a point outside the robust ellipsoids is a spike
-and is replaced by the expected value, until none is left. Runs of one value and values beyond
-physical bounds are found beside it.
+hour (medians, swept out in turn). The departures of a source and place, in order of fetching, are
+points in the space of value, first and second difference. A point outside a robust ellipsoid of two
+of them is a spike; spikes are replaced by the expected value and the spreads estimated again, until
+none is left. Runs of one value and values beyond physical bounds are found beside it.
 
-Departure from plain phase-space thresholding: neighbouring fetches are of different places, so a
-neighbour's spike also throws a good point's differences out. A point must therefore also lie beyond
-the threshold in its own value.
+Departures from plain phase-space thresholding: a spike throws its neighbours' differences out too,
+so of a point and its two neighbours on each side only the one that departs most is a spike by its
+differences. The ellipse of value and second difference is that of the value and of what the value
+leaves of the second difference, as the two go together in any series of independent readings.
 
 Plan: medians by partial aggregation; each series is cut into blocks of ``BLOCK`` rows with
 ``HALO`` rows of its neighbours (:mod:`fieldmark.plans.blocks`), so that a source that holds a third
-of all readings is worked on by many tasks.
+of all readings is worked on by many tasks. A pass is two aggregations to a row a source and field,
+and one window over the blocks.
 
 Defined results: null readings are never flagged and break a run; exact copies of a row count once;
 rows with a null source form one source; an empty table gives no rows; extra columns are ignored.
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.plans.blocks import in_blocks
@@ -34,7 +36,7 @@ FIELDS = tuple(BOUNDS)
 #: Readings that must repeat for a stuck sensor.
 RUN = 5
 BLOCK, ITERATIONS = 20_000, 5
-#: Each iteration reads two neighbours' replaced values.
+#: Each iteration reads two neighbours' replaced values on each side.
 HALO = max(RUN, 2 * ITERATIONS + 2)
 #: Times the universal threshold sqrt(2 ln n): departures of weather have longer tails than the normal law it is made for.
 WIDTH = 1.2
@@ -74,40 +76,66 @@ def _spread(x: str) -> Column:
     return F.percentile_approx(F.abs(x), 0.5, 1000) * 1.4826
 
 
-def _difference(u: np.ndarray) -> np.ndarray:
-    d = np.zeros_like(u)
-    if len(u) > 2:
-        d[1:-1] = (u[2:] - u[:-2]) / 2
-    return d
-
-
-def phase_space(u: np.ndarray, sigma: tuple[float, float, float], slope: float, width: float) -> np.ndarray:
-    """Flags of spikes in the departures ``u`` (nan: no reading, taken as expected). sigma: robust
-    spread of value, first and second difference; slope: of second difference on value."""
-    known = ~np.isnan(u)
-    u = np.where(known, u, 0.0)
-    out = np.zeros(len(u), dtype=bool)
-    su, sd, s2 = sigma
-    if not su > 0:
-        return out
-    theta = np.arctan(slope)
-    c, s = np.cos(theta), np.sin(theta)
-    # half axes of the rotated ellipse from its extents in both coordinates
-    det = c**4 - s**4
-    a2, b2 = (((su * c) ** 2 - (s2 * s) ** 2) / det, ((s2 * c) ** 2 - (su * s) ** 2) / det) if abs(det) > 1e-9 else (su**2, s2**2)
-    a2, b2 = (a2, b2) if a2 > 0 and b2 > 0 else (su**2, s2**2)
-    for _ in range(ITERATIONS):
-        d = _difference(u)
-        d2 = _difference(d)
-        outside = (u / su) ** 2 + (d / sd if sd > 0 else 0 * d) ** 2 > width**2
-        x, y = u * c + d2 * s, d2 * c - u * s
-        outside |= x**2 / a2 + y**2 / b2 > width**2 if b2 > 0 else False
-        new = outside & (np.abs(u) > width * su) & ~out
+def phase_space(u: np.ndarray, sigma: tuple[float, float, float, float], slope: float, width: float) -> np.ndarray:
+    """Flags of spikes in one series of departures ``u`` (nan: no reading, left out), with spreads as
+    given: the rule of :func:`spikes` without a new estimate each pass. sigma: robust spread of value,
+    first and second difference, and of the second difference less slope times value."""
+    known = np.flatnonzero(~np.isnan(u))
+    v, out = u[known].astype(float), np.zeros(len(known), dtype=bool)
+    su, sd, s2, sr = (*sigma, 0.0)[:4]
+    part = lambda x, s: (x / s) ** 2 if s > 0 else 0 * x
+    for _ in range(ITERATIONS if su > 0 else 0):
+        d, d2, most = np.zeros_like(v), np.zeros_like(v), np.abs(v)
+        d[1:-1], d2[1:-1] = (v[2:] - v[:-2]) / 2, v[2:] - 2 * v[1:-1] + v[:-2]
+        rest = d2 - slope * v
+        rest[[0, -1][: len(v)]] = 0
+        for k in (1, 2):
+            most[k:] = np.maximum(most[k:], np.abs(v[:-k]))
+            most[:-k] = np.maximum(most[:-k], np.abs(v[k:]))
+        outside = np.maximum.reduce([part(v, su) + part(d, sd), part(v, su) + part(rest, sr), part(d, sd) + part(d2, s2)]) > width**2
+        new = ~out & ((np.abs(v) > width * su) | (outside & (np.abs(v) >= most)))
         if not new.any():
             break
         out |= new
-        u = np.where(new, 0.0, u)
-    return out & known
+        v = np.where(out, 0.0, v)
+    flags = np.zeros(len(u), dtype=bool)
+    flags[known] = out
+    return flags
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    """``points`` with ``_v``, its differences ``_d`` and ``_dd`` (null at the ends of a series) and
+    ``_most``, the largest departure among it and two neighbours on each side."""
+    w = Window.partitionBy("_line", "_block").orderBy("_index")
+    df = points.withColumn("_v", F.when(F.col("_out"), 0.0).otherwise(F.col("u")))
+    before, after = F.lag("_v").over(w), F.lead("_v").over(w)
+    return df.withColumns({"_d": (after - before) / 2, "_dd": after - 2 * F.col("_v") + before, "_most": F.max(F.abs("_v")).over(w.rowsBetween(-2, 2))})
+
+
+def spikes(df: DataFrame) -> DataFrame:
+    """The rows (_row, match_id, kind, source, fetched_at, field, value) of ``df`` that are spikes, for
+    every field. Needs ``_row``, ``_source``, ``_place``, the fields and their departures."""
+    keys = ["_row", "match_id", "kind", "source", "fetched_at", "_source"]
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"_u_{f}").alias("u")) for f in FIELDS]))
+    points = df.select(*keys, "_place", fields.alias("x")).select(*keys, "x.*", F.concat_ws("\x1f", "x.field", "_source", "_place").alias("_line")).where("u is not null")
+    counts = df.groupBy("_source").agg((WIDTH * F.sqrt(2 * F.log(F.greatest(F.count("*"), F.lit(2))))).alias("width"))
+    state = cut(_placed(in_blocks(points, "_line", ["fetched_at", "match_id", "kind", "_row"], BLOCK, HALO).withColumn("_out", F.lit(False))))
+    for _ in range(ITERATIONS):
+        left = state.where("_core AND NOT _out")
+        # the slope of second difference on value, by medians: spikes would turn a least-squares slope
+        slope = F.coalesce(F.percentile_approx(F.when(F.abs("_v") > 0, F.col("_dd") / F.col("_v")), 0.5, 1000), F.lit(0.0))
+        by = left.groupBy("_source", "field").agg(_spread("_v").alias("su"), _spread("_d").alias("sd"), _spread("_dd").alias("s2"), slope.alias("slope"))
+        rest = left.join(by.select("_source", "field", "slope"), ["_source", "field"]).groupBy("_source", "field").agg(F.percentile_approx(F.abs(F.expr("_dd - slope * _v")), 0.5, 1000).alias("sr"))
+        known = cut(by.join(rest, ["_source", "field"]).join(counts, "_source").withColumn("sr", F.col("sr") * 1.4826))
+        part = lambda x, s: F.when(F.col(s) > 0, F.coalesce((F.expr(x) / F.col(s)) ** 2, F.lit(0.0))).otherwise(0.0)
+        v, d, dd = part("_v", "su"), part("_d", "sd"), part("_dd", "s2")
+        outside = F.greatest(v + d, v + part("_dd - slope * _v", "sr"), d + dd) > F.col("width") ** 2
+        new = ~F.col("_out") & (F.col("su") > 0) & ((F.abs("_v") > F.col("width") * F.col("su")) | (outside & (F.abs("_v") >= F.col("_most"))))
+        marked = state.join(known, ["_source", "field"], "left").withColumn("_new", F.coalesce(new, F.lit(False))).withColumn("_out", F.col("_out") | F.col("_new"))
+        state = cut(_placed(marked.select(*points.columns, "_index", "_block", "_core", "_out", "_new")))
+        if state.where("_core AND _new").isEmpty():
+            break
+    return state.where("_core AND _out").select(*keys[:-1], "field", "value")
 
 
 def stuck(x: np.ndarray, least: int = RUN) -> np.ndarray:
@@ -123,50 +151,32 @@ def flag(readings: DataFrame) -> DataFrame:
     """(match_id, kind, source, fetched_at, field, value, fault) of every implausible reading; fault
     is ``bound``, ``spike`` or ``stuck``, the first that holds."""
     base = readings.select("match_id", "kind", "source", "fetched_at", "place", "band", "month", "hour", *FIELDS).distinct()
-    df = departures(base).select("match_id", "kind", "source", "fetched_at", "_source", *FIELDS, *[f"_u_{f}" for f in FIELDS])
-    blocks = in_blocks(df, "_source", ["fetched_at", "match_id", "kind", *FIELDS], BLOCK, HALO)
-    ranked = "PARTITION BY _source, _block ORDER BY _index"
-    diffs = blocks
-    for f in FIELDS:
-        diffs = diffs.withColumn(f"_z_{f}", F.coalesce(f"_u_{f}", F.lit(0.0)))
-        diffs = diffs.withColumn(f"_d_{f}", F.expr(f"(lead(_z_{f}) OVER ({ranked}) - lag(_z_{f}) OVER ({ranked})) / 2"))
-        diffs = diffs.withColumn(f"_dd_{f}", F.expr(f"(lead(_z_{f}, 2) OVER ({ranked}) - 2 * _z_{f} + lag(_z_{f}, 2) OVER ({ranked})) / 4"))
-    spreads = diffs.where("_core").groupBy("_source").agg(
-        F.count("*").alias("n"),
-        *[
-            F.struct(
-                _spread(f"_u_{f}").alias("u"),
-                _spread(f"_d_{f}").alias("d"),
-                _spread(f"_dd_{f}").alias("dd"),
-                # the slope of second difference on value, by medians: spikes would turn a least-squares slope
-                F.coalesce(F.percentile_approx(F.when(F.abs(f"_u_{f}") > 0, F.col(f"_dd_{f}") / F.col(f"_u_{f}")), 0.5, 1000), F.lit(0.0)).alias("slope"),
-            ).alias(f"s_{f}")
-            for f in FIELDS
-        ],
-    )
-    joined = blocks.join(spreads, "_source")
+    df = departures(base).select("match_id", "kind", "source", "fetched_at", "_source", "_place", *FIELDS, *[f"_u_{f}" for f in FIELDS])
+    df = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    rows = df.select("_row", "match_id", "kind", "source", "fetched_at", "_source", *FIELDS)
+    blocks = in_blocks(rows, "_source", ["fetched_at", "match_id", "kind", *FIELDS], BLOCK, HALO)
 
     def faults(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_index", kind="stable")
         core = pdf["_core"].to_numpy(dtype=bool)
-        width = WIDTH * float(np.sqrt(2 * np.log(max(2, int(pdf["n"].iloc[0])))))
         parts = []
         for f in FIELDS:
             x = pdf[f].to_numpy(dtype=float)
             low, high = BOUNDS[f]
-            s = pdf[f"s_{f}"].iloc[0]
             bound = (x < low) | (x > high)
-            spike = phase_space(pdf[f"_u_{f}"].to_numpy(dtype=float), tuple(np.nan_to_num(float(s[k])) if s[k] is not None else 0.0 for k in ("u", "d", "dd")), float(s["slope"] or 0), width)
             run = stuck(x) & ~((x == 0) if f == "precip_mm" else np.zeros(len(x), dtype=bool))
-            fault = np.select([bound, spike, run], ["bound", "spike", "stuck"], "")
+            fault = np.select([bound, run], ["bound", "stuck"], "")
             at = core & (fault != "")
             if at.any():
-                part = pdf.loc[at, ["match_id", "kind", "source", "fetched_at"]].copy()
+                part = pdf.loc[at, ["_row", "match_id", "kind", "source", "fetched_at"]].copy()
                 part["field"], part["value"], part["fault"] = f, x[at], fault[at]
                 parts.append(part)
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["match_id", "kind", "source", "fetched_at", "field", "value", "fault"])
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["_row", "match_id", "kind", "source", "fetched_at", "field", "value", "fault"])
 
-    return joined.groupBy("_source", "_block").applyInPandas(faults, "match_id long, kind string, source string, fetched_at string, field string, value double, fault string")
+    found = blocks.groupBy("_source", "_block").applyInPandas(faults, "_row long, match_id long, kind string, source string, fetched_at string, field string, value double, fault string")
+    found = found.unionByName(spikes(df).withColumn("fault", F.lit("spike")))
+    # bound, spike, stuck: the first that holds is also the first in the alphabet
+    return found.groupBy("_row", "field").agg(F.min_by(F.struct("match_id", "kind", "source", "fetched_at", "field", "value", "fault"), "fault").alias("x")).select("x.*")
 
 
 def weather_readings(weather: DataFrame, matches: DataFrame, venues: DataFrame, starts: DataFrame) -> DataFrame:

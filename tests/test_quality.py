@@ -125,3 +125,18 @@ def test_no_readings(spark):
     assert spikes.flag(spark.createDataFrame(readings(spark, 30)).limit(0)).collect() == []
     assert spikes.stuck(np.array([1, 1, 1, 1, np.nan, 1.0])).sum() == 0
     assert not spikes.phase_space(np.zeros(10), (0, 0, 0), 0, 4).any()
+
+
+def test_differences_decide(spark):
+    """A reading within the threshold of its own value, whose difference from its place's neighbours is not."""
+    f = readings(spark)
+    at = f.index[(f.source == "b") & (f.place == 4)][20:23]
+    expected = 20 - f.month[at] + f.place[at] * 0.5
+    f.loc[at, "temp_c"] = (expected + [-5.0, 8.0, -5.0]).round(1)
+    got = {(r.field, r.match_id): r.fault for r in spikes.flag(spark.createDataFrame(f)).collect()}
+    assert {k for k in got if k[1] in set(at)} == {("temp_c", int(at[1]))}
+    width = spikes.WIDTH * np.sqrt(2 * np.log((f.source == "b").sum()))
+    assert 8.0 < width * 2 and len(got) <= 3
+    u = np.array([0.1, -2.5, 4.0, -2.5, np.nan, 0.2, 0.0])
+    assert spikes.phase_space(u, (1, 0.7, 2.4, 1.4), -2, 4.46).tolist() == [False, False, True, False, False, False, False]
+    assert not spikes.phase_space(u, (1, 0, 0, 0), -2, 4.46).any()
