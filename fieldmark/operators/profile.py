@@ -27,6 +27,8 @@ BINS = 64
 #: median distribution, and further than chance explains (KS_CHANCE / sqrt(n)), or its null share
 #: is this far from the median share, and further than six standard errors.
 KS_LEAST, KS_CHANCE, NULL_LEAST, NULL_ERRORS = 0.2, 1.95, 0.25, 6.0
+#: Places of the hash in which texts are ordered, and what marks the forms of a text column.
+TEXT_PLACES, FORM = 1024, "\x1f"
 
 
 @dataclass(frozen=True)
@@ -105,14 +107,42 @@ def column_profile(spark: SparkSession, source: Source) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _integer(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint")
+
+
 def load_profile(spark: SparkSession, source: Source) -> DataFrame:
-    """(table_name, column_name, load_no, n_rows, nulls, lo, hi, mean) of every numeric column and
-    load, in one aggregation over the table: loads share chunks, so footers cannot separate them."""
-    df = spark.read.parquet(source.path)
-    columns = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") and c != source.load]
-    wide = df.where(F.col(source.load).isNotNull()).groupBy(F.col(source.load).cast("long").alias("load_no")).agg(*[F.struct(F.count("*").alias("n_rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"), F.avg(c).alias("mean")).alias(c) for c in columns])
-    long = wide.select("load_no", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in columns])).alias("x"))
-    return long.select(F.lit(source.name).alias("table_name"), "x.column_name", "load_no", "x.s.*")
+    """(table_name, column_name, load_no, n_rows, nulls, distinct_values, lo, hi, mean, violations) of
+    every column and load: loads share chunks, so footers cannot separate them. Values are tallied
+    by load and column, so that distinct counts are exact; lo and hi are text; mean is null for text
+    and violations where no rule or pattern is stated."""
+    df = spark.read.parquet(source.path).where(F.col(source.load).isNotNull())
+    rules, patterns = {r.column: r for r in source.rules}, dict(source.patterns)
+    pairs = []
+    for c, t in df.dtypes:
+        if c == source.load:
+            continue
+        number = _integer(t) or t in ("float", "double")
+        bad = F.coalesce(rules[c].broken(), F.lit(False)) if c in rules else F.coalesce(~F.col(c).rlike(patterns[c]), F.lit(False)) if c in patterns else F.lit(None).cast("boolean")
+        value = lambda here, kind, c=c: (F.col(c) if here else F.lit(None)).cast(kind)
+        pairs.append(F.struct(F.lit(c).alias("column_name"), value(_integer(t), "long").alias("l"), value(number and not _integer(t), "double").alias("x"), value(not number, "string").alias("s"), bad.alias("bad")))
+    values = df.select(F.col(source.load).cast("long").alias("load_no"), F.explode(F.array(*pairs)).alias("p")).select("load_no", "p.*")
+    # bad may differ between rows of one value, where a rule names another column
+    tally = values.groupBy("column_name", "load_no", "l", "x", "s").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    number, known = F.coalesce(F.col("l").cast("double"), "x"), F.coalesce(F.col("l").isNotNull() | F.col("x").isNotNull() | F.col("s").isNotNull(), F.lit(False))
+    of = lambda f: F.coalesce(f("l").cast("string"), f("x").cast("string"), f("s"))
+    out = tally.groupBy("column_name", "load_no").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("nulls"), F.count_if(known).alias("distinct_values"), of(F.min).alias("lo"), of(F.max).alias("hi"),
+        (F.sum(number * F.col("n")) / F.sum(F.when(number.isNotNull(), F.col("n")))).alias("mean"), F.sum("bad").alias("violations"),
+    )
+    return out.select(F.lit(source.name).alias("table_name"), "*")
+
+
+def load_comparison(spark: SparkSession, source: Source) -> DataFrame:
+    """:func:`load_profile` with null_share, usual_null_share, ks and departs of every column and load."""
+    columns = [c for c in spark.read.parquet(source.path).columns if c != source.load]
+    apart = load_departures(spark, source, columns).drop("n")
+    return load_profile(spark, source).join(apart, ["table_name", "column_name", "load_no"], "left")
 
 
 def suspicious_files(stated: DataFrame, rule: Rule) -> DataFrame:
@@ -138,11 +168,23 @@ def broken_rows(spark: SparkSession, source: Source) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def load_departures(spark: SparkSession, source: Source) -> DataFrame:
-    """(table_name, column_name, load_no, n, null_share, usual_null_share, ks, departs) of each rule's
-    column and load. Distributions are those of the values that keep the rule."""
+def load_departures(spark: SparkSession, source: Source, columns: list[str] | None = None) -> DataFrame:
+    """(table_name, column_name, load_no, n, null_share, usual_null_share, ks, departs) of each load and
+    column, without ``columns`` of those with a rule. Distributions are those of the values that keep
+    the rule. Text has no distances: its values, and apart from them its forms (letters and digits
+    made alike), are compared in the order of a hash, and the larger ks counts."""
     df = spark.read.parquet(source.path).where(F.col(source.load).isNotNull())
-    pairs = [F.struct(F.lit(r.column).alias("c"), F.col(r.column).cast("double").alias("x"), F.coalesce(~r.broken(), F.lit(False)).alias("ok")) for r in source.rules]
+    types, rules = dict(df.dtypes), {r.column: r for r in source.rules}
+    pairs = []
+    for c in columns or list(rules):
+        kept = F.coalesce(~rules[c].broken(), F.lit(False)) if c in rules else F.col(c).isNotNull()
+        if _integer(types[c]) or types[c] in ("float", "double"):
+            positions = [("", F.col(c).cast("double"))]
+        else:
+            text = F.col(c).cast("string")
+            forms = F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[A-Za-z]", "a")
+            positions = [(tag, F.when(text.isNotNull(), F.pmod(F.xxhash64(y), F.lit(TEXT_PLACES)).cast("double"))) for tag, y in (("", text), (FORM, forms))]
+        pairs += [F.struct(F.lit(c + tag).alias("c"), x.alias("x"), kept.alias("ok")) for tag, x in positions]
     values = df.select(F.col(source.load).cast("long").alias("load_no"), F.explode(F.array(*pairs)).alias("p"))
     # tallied by value before anything is shuffled
     tally = values.groupBy("load_no", "p.c", "p.x", "p.ok").agg(F.count("*").alias("n"))
@@ -161,7 +203,9 @@ def load_departures(spark: SparkSession, source: Source) -> DataFrame:
     apart = F.abs(F.col("null_share") - F.col("usual_null_share"))
     error = F.sqrt(F.col("usual_null_share") * (1 - F.col("usual_null_share")) / F.col("rows"))
     departs = ((apart > NULL_LEAST) & (apart > NULL_ERRORS * error)) | F.coalesce((F.col("ks") > KS_LEAST) & (F.col("ks") > KS_CHANCE / F.sqrt("n")), F.lit(False))
-    return joined.select(F.lit(source.name).alias("table_name"), F.col("c").alias("column_name"), "load_no", "n", "null_share", "usual_null_share", "ks", departs.alias("departs"))
+    rows = joined.withColumns({"departs": departs, "column_name": F.substring_index("c", FORM, 1)})
+    one = rows.groupBy("column_name", "load_no").agg(F.max("n").alias("n"), F.max("null_share").alias("null_share"), F.max("usual_null_share").alias("usual_null_share"), F.max("ks").alias("ks"), F.bool_or("departs").alias("departs"))
+    return one.select(F.lit(source.name).alias("table_name"), "*")
 
 
 def p3_found(spark: SparkSession, sources: list[Source]) -> DataFrame:

@@ -37,8 +37,8 @@ def p3_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_loads(spark: SparkSession, d: str) -> DataFrame:
-    """The profile of every numeric column and load of both tables."""
-    a, b = (profile.load_profile(spark, s) for s in profile.warehouse_sources(d))
+    """The profile of every column and load of both tables, and whether it departs from that of most loads."""
+    a, b = (profile.load_comparison(spark, s) for s in profile.warehouse_sources(d))
     return a.unionByName(b).withColumn("mean", F.round("mean", 3))
 
 

@@ -140,3 +140,24 @@ def test_differences_decide(spark):
     u = np.array([0.1, -2.5, 4.0, -2.5, np.nan, 0.2, 0.0])
     assert spikes.phase_space(u, (1, 0.7, 2.4, 1.4), -2, 4.46).tolist() == [False, False, True, False, False, False, False]
     assert not spikes.phase_space(u, (1, 0, 0, 0), -2, 4.46).any()
+
+
+def test_loads_of_every_column(spark, tmp_path):
+    f = loads()
+    f["s"] = [f"ok{k % 3}" for k in f.id]
+    f["when"] = [f"2024-01-{k % 28 + 1:02d}" for k in f.id]
+    f.loc[f.load_no == 3, "s"] = None
+    f.loc[f.load_no == 6, "when"] = [f"{k % 28 + 1}/1/24" for k in f.id[f.load_no == 6]]
+    f.loc[[9, 10], "s"] = "??"
+    f.loc[5, "x"] = 99
+    source = profile.Source("t", write(tmp_path, f), rules=(profile.Rule("x", 0, 12),), patterns=(("s", "^ok"),))
+    got = {(r.column_name, r.load_no): r for r in profile.load_comparison(spark, source).collect()}
+    assert {c for c, _ in got} == {"id", "x", "cap", "s", "when"} and len(got) == 40
+    r = got["s", 0]
+    assert (r.n_rows, r.nulls, r.distinct_values, r.lo, r.hi, r.mean, r.violations, r.departs) == (300, 0, 4, "??", "ok2", None, 2, False)
+    assert (got["s", 3].nulls, got["s", 3].distinct_values, got["s", 3].lo, got["s", 3].departs) == (300, 0, None, True)
+    own = f[f.load_no == 4]
+    assert (got["x", 4].distinct_values, got["x", 4].lo, got["x", 4].violations, got["cap", 4].violations) == (own.x.nunique(), str(own.x.min()), 0, None)
+    assert got["x", 4].mean == pytest.approx(own.x.mean()) and got["x", 0].violations == 1
+    assert {k for k, v in got.items() if v.departs and k[0] != "id"} == {("s", 3), ("when", 6)}
+    assert profile.p3_found(spark, [source]).where("scope = 'load'").collect() == []
