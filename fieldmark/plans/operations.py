@@ -76,6 +76,16 @@ def hourly_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select("id", "precip", "prior_precip", F.round("gust", 2).alias("gust"))
 
 
+def hourly_windows_all(spark: SparkSession, d: str) -> DataFrame:
+    """All six metrics of the strict windows over hourly figures of the events, for every hour of every
+    series. The SQL of hourly_windows covers a part of the hours and metrics; this one has a fixture."""
+    e = read_table(spark, d, "events").select("event_type", "value", (F.unix_timestamp("ts") - F.unix_timestamp("ts") % 3600).alias("hour"))
+    mean = hourly.half_up(F.avg("value"), 1)
+    hours = e.groupBy(F.col("event_type").alias("series"), "hour").agg(mean.alias("temp"), F.min("value").alias("humidity"), F.count("*").cast("double").alias("precip"), F.max("value").alias("wind"), F.max("value").alias("gust"))
+    targets = hours.select(F.concat("series", F.lit("@"), F.col("hour").cast("string")).alias("id"), "series", F.col("hour").alias("start"))
+    return hourly.windows(targets, hours)
+
+
 def vote_lines(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes and tiers of the typed vote records against the players of their match."""
     m = read_table(spark, d, "matches")
@@ -106,7 +116,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed(read_table(spark, d, "events"))
 
 
-QUERIES = {f.__name__: f for f in (merge_deliveries, merge_affected, merge_insert_missing, replace_groups, merged_identity, constraints, numbered_rows, hourly_windows, vote_lines, provider_names, quarantined, event_windows)}
+QUERIES = {f.__name__: f for f in (merge_deliveries, merge_affected, merge_insert_missing, replace_groups, merged_identity, constraints, numbered_rows, hourly_windows, hourly_windows_all, vote_lines, provider_names, quarantined, event_windows)}
 
 _PICK = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY load_no DESC NULLS LAST) AS rn FROM player_match_stats WHERE load_no % 2 = {}) WHERE rn = 1)"
 _MERGED = f"""

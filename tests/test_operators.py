@@ -126,3 +126,20 @@ def test_windowed_stream(spark, tmp_path):
     q = windowed(s).writeStream.format("memory").queryName("w_out").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("w_out").collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+
+
+def test_every_hour_is_a_target(spark, tmp_path):
+    from fieldmark.plans import operations
+
+    # 30 hours of one type, two events an hour; a mean of -0.25 goes up to -0.2
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=h, minutes=m), "a", v) for h in range(30) for m, v in ((5, -0.5), (50, 0.0))]
+    s = spark.createDataFrame([*rows, (dt.datetime(2024, 1, 1, 7), "b", 9.0)], "ts timestamp, event_type string, value double")
+    s.write.parquet(f"{tmp_path}/events.parquet")
+    got = operations.QUERIES["hourly_windows_all"](spark, str(tmp_path)).collect()
+    begin = int(s.selectExpr("min(unix_timestamp(ts))").first()[0]) // 3600 * 3600
+    by = {r.id: tuple(r)[1:] for r in got}
+    assert len(by) == len(got) == 31
+    assert by[f"a@{begin + 5 * 3600}"] == (-0.2, -0.5, 6.0, 0.0, 0.0, None)
+    assert by[f"a@{begin + 25 * 3600}"] == (-0.2, -0.5, 6.0, 0.0, 0.0, 48.0)
+    assert by[f"a@{begin + 28 * 3600}"] == (None, None, None, None, None, 48.0)
+    assert sum(v == (None,) * 6 for k, v in by.items() if k[0] == "b") == 1
