@@ -7,10 +7,10 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.segments import _swaps_as_one
+from fieldmark.llm.segments import _swaps_as_one, segment_join
 
 # Short forms of given names.
 SHORT_FORMS = {
@@ -64,16 +64,20 @@ def _given(words: list[str]) -> str:
     return next((w for w in words if len(w) > 1), words[0] if words else "")
 
 
+#: Letters from which two edits may part surnames, and from which a name may be one part of a double name.
+LONG, PART = 6, 6
+
+
 def surname_edits(a: str, b: str) -> int:
     """0 to 2 edits between surnames that may be one; 9 otherwise."""
     if a == b:
         return 0
-    most = 1 if min(len(a), len(b)) < 6 else 2
+    most = 1 if min(len(a), len(b)) < LONG else 2
     d = _swaps_as_one(a, b, most)
     if d <= most:
         return d
     # one part of a double name
-    if min(len(a), len(b)) >= 6 and (a.startswith(b) or b.startswith(a) or a.endswith(b) or b.endswith(a)):
+    if min(len(a), len(b)) >= PART and (a.startswith(b) or b.startswith(a) or a.endswith(b) or b.endswith(a)):
         return 2
     return 9
 
@@ -147,3 +151,21 @@ def surnames(text: Column) -> Column:
         return pd.Series(out)
 
     return parts(text)
+
+
+def near_surnames(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left, right): every pair of the distinct surnames of ``left(text)`` and ``right(text)`` that
+    ``surname_edits`` gives two edits or less, whichever side they stand on."""
+    most = lambda n: F.when(n < LONG, 1).otherwise(2)
+    # the bound is that of the shorter one, which is no more than that of the right one
+    near = segment_join(left, right, most, 2, swaps=True).where(F.col("edits") <= most(F.least(F.length("left"), F.length("right")))).select("left", "right")
+    a, b = (t.where("length(text) > 0").select("text").distinct() for t in (left, right))
+
+    def ended(whole: DataFrame) -> DataFrame:
+        n = F.length("text")
+        ends = F.transform(F.sequence(F.lit(PART), n - 1), lambda k: F.array(F.substring(F.col("text"), F.lit(1), k), F.substring(F.col("text"), n - k + 1, k)))
+        return whole.where(n > PART).select("text", F.explode(F.array_distinct(F.flatten(ends))).alias("part"))
+
+    longer = ended(a).join(b.select(F.col("text").alias("part")), "part").select(F.col("text").alias("left"), F.col("part").alias("right"))
+    shorter = ended(b).join(a.select(F.col("text").alias("part")), "part").select(F.col("part").alias("left"), F.col("text").alias("right"))
+    return near.unionByName(longer).unionByName(shorter).distinct()

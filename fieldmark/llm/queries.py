@@ -14,23 +14,28 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
     return cut(survivors.persons(read_table(spark, d, "players")))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def _linked(spark: SparkSession, d: str) -> DataFrame:
     tables = (read_table(spark, d, t) for t in ("coach_observations", "coach_external_ids", "brownlow_player_records", "teams", "players", "player_match_stats"))
-    return persons.p2_found(*tables, _people(spark, d))
+    return cut(persons.members(*tables, _people(spark, d)))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return persons.p2_found(_linked(spark, d))
 
 
-def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """How many vote records are linked to persons with how many records."""
-    v = persons.vote_persons(*(read_table(spark, d, t) for t in ("brownlow_player_records", "players", "player_match_stats")), _people(spark, d))
-    return v.groupBy("person_id").agg(F.count("*").alias("records")).groupBy("records").agg(F.count("*").alias("persons"))
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every linked record with its person, and how many records that person has."""
+    linked = _linked(spark, d)
+    return linked.join(linked.groupBy("person").agg(F.count("*").alias("records")), "person").select("key", "person", "records")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.p5_found(_people(spark, d))
+    return survivors.p5_found(survivors.confirm(read_table(spark, d, "players"), _people(spark, d))[0])
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.survivors(read_table(spark, d, "players"), _people(spark, d))
+    """One record a person, of the groups as confirmed."""
+    return survivors.confirm(read_table(spark, d, "players"), _people(spark, d))[1]
 
 
 def p5_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -97,5 +102,5 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.where("spellings > 1").drop("form")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_sizes, p4_found, p4_unmatched, p5_found, p5_survivors, p5_lines, p6_found, p6_confidence, p8_found, p8_items, p9_mixture, p9_schedule, p10_found, p10_classes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_members, p4_found, p4_unmatched, p5_found, p5_survivors, p5_lines, p6_found, p6_confidence, p8_found, p8_items, p9_mixture, p9_schedule, p10_found, p10_classes)}
 SQL: dict[str, str] = {}

@@ -5,22 +5,23 @@ the other, shifted by at most the difference in length and the edits around it.
 segments form an inverted index (length, number, segment); the other side looks up its substrings at
 the shifted places. Both are plain rows joined on equal keys, so Spark hashes, spills and splits
 skewed keys as for any join; pairs are verified with the threshold form of ``levenshtein``, which
-fills a band of the table only. No pair within the bound is lost.
+fills a band of the table only. A swap of neighbours that straddles a cut would spoil two segments
+at once; the index holds the texts with that swap undone as well. No pair within the bound is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.plans.lineage import cut
-
 
-def edits_allowed(length: Column, longest: int = 4) -> Column:
+def edits_allowed(length: Column) -> Column:
     """Edits that a typed token of this length may hold: 0 up to 3 letters, 1 up to 5, 2 up to 7, 3
     for 8, 4 beyond. Two swaps of neighbouring letters are four edits."""
-    return F.least(F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 7, 2).when(length == 8, 3).otherwise(4), F.lit(longest))
+    return F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 7, 2).when(length == 8, 3).otherwise(4)
 
 
 def _swaps_as_one(a: str, b: str, most: int) -> int:
@@ -53,30 +54,69 @@ def typing_edits(left: Column, right: Column) -> Column:
     return edits(left, right)
 
 
-def _segments(text: Column, k: Column) -> Column:
-    """Array of (number, place from 0, segment) of k + 1 segments, the first ones shorter by one letter."""
-    n = F.length(text)
-    each, longer = F.floor(n / (k + 1)).cast("int"), (n % (k + 1)).cast("int")
-    place = lambda j: (j * each + F.greatest(j - (k + 1 - longer), F.lit(0))).cast("int")
-    return F.transform(F.sequence(F.lit(0), k), lambda j: F.struct(j.cast("int").alias("number"), place(j).alias("at"), F.substring(text, place(j) + 1, place(j + 1) - place(j)).alias("segment")))
+def _cuts(n: Column, k: Column, j: Column) -> tuple[Column, Column]:
+    """(place from 0, letters) of segment j of k + 1 segments of n letters, the first ones shorter by one."""
+    each, short = F.floor(n / (k + 1)).cast("int"), (k + 1 - n % (k + 1)).cast("int")
+    return (j * each + F.greatest(j - short, F.lit(0))).cast("int"), each + F.when(j >= short, 1).otherwise(0)
+
+
+def _letters(text: Column) -> Column:
+    """The set of a text's letters as 64 bits; letters that share a bit only make it smaller."""
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64)))))
+
+
+def _index(r: DataFrame, k: Column, swaps: bool) -> DataFrame:
+    """(r, letters_r, n, number, segment): the k + 1 segments of each text ``r``. With ``swaps``, those too of the
+    text with the two letters at one of its k cuts swapped: such a swap is one edit that touches two
+    segments."""
+    forms = r.select("r", "letters_r", F.col("r").alias("form"), F.length("r").alias("n"), k.alias("k"))
+    if swaps:
+        at, _ = _cuts(F.col("n"), F.col("k"), F.col("j"))
+        # the letters before and behind cut j; cut 0 is none
+        other = F.concat(F.expr("substring(r, 1, at - 1)"), F.expr("substring(r, at + 1, 1)"), F.expr("substring(r, at, 1)"), F.expr("substring(r, at + 2)"))
+        forms = forms.select("r", "letters_r", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j")).withColumn("at", at).where("j = 0 OR at > 0").select("r", "letters_r", F.when(F.col("j") == 0, F.col("r")).otherwise(other).alias("form"), "n", "k")
+    at, m = _cuts(F.col("n"), F.col("k"), F.col("number"))
+    cut_ = forms.select("r", "letters_r", "form", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("number")).select("r", "letters_r", "form", "n", "number", at.alias("at"), m.alias("m"))
+    return cut_.select("r", "letters_r", "n", "number", F.expr("substring(form, at + 1, m)").alias("segment")).distinct()
+
+
+def _lookups(l_: DataFrame, allowed: Callable[[Column], Column], most: int) -> DataFrame:
+    """(l, letters_l, n, number, segment): for each length n of a text that may lie within its allowed edits of
+    ``l``, the substrings of ``l`` that can be segment ``number`` of it."""
+    lengths = l_.select("l", "letters_l", F.length("l").alias("ln")).select("l", "letters_l", "ln", F.explode(F.sequence(F.greatest(F.col("ln") - most, F.lit(1)), F.col("ln") + most)).alias("n"))
+    lengths = lengths.withColumn("k", allowed(F.col("n")).cast("int")).where("abs(n - ln) <= k")
+    at, m = _cuts(F.col("n"), F.col("k"), F.col("j"))
+    cut_ = lengths.select("l", "letters_l", "ln", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j")).select("*", at.alias("at"), m.alias("m"))
+    # a shared segment exists with at most j edits before it and k - j behind it
+    places = cut_.selectExpr("l", "letters_l", "n", "j AS number", "m", "greatest(at - j, at + ln - n - (k - j), 0) AS lo", "least(at + j, at + ln - n + (k - j), ln - m) AS hi").where("hi >= lo")
+    return places.select("l", "letters_l", "n", "number", "m", F.explode(F.sequence("lo", "hi")).alias("p")).selectExpr("l", "letters_l", "n", "number", "substring(l, p + 1, m) AS segment")
 
 
-def segment_join(left: DataFrame, right: DataFrame, longest: int = 4) -> DataFrame:
+def segment_join(left: DataFrame, right: DataFrame, allowed: Callable[[Column], Column] = edits_allowed, most: int = 4, swaps: bool = False) -> DataFrame:
     """(left, right, edits) for the distinct strings of both one-column tables ``left(text)`` and
-    ``right(text)`` that lie within the edits allowed for the right string's length.
+    ``right(text)`` within ``allowed(length of right)`` edits, which are at most ``most``.
 
-    Null and empty strings match nothing; repeated strings count once; equal strings have 0 edits.
+    With ``swaps`` (for up to two edits), swapped neighbours count as one edit; without, as two. The
+    result does not depend on the order of rows, and on which side a string stands only through
+    ``allowed``. Null and empty strings match nothing; repeated strings count once; equal strings have
+    0 edits. Every pair within the bound is found; all joins are on equal keys, whose lengths and
+    places are computed on either side.
     """
-    l_ = cut(left.where("length(text) > 0").select(F.col("text").alias("l")).distinct())
-    r = right.where("length(text) > 0").select(F.col("text").alias("r")).distinct().withColumn("k", edits_allowed(F.length("r"), longest).cast("int"))
-    index = cut(r).select("r", "k", F.explode(_segments(F.col("r"), F.col("k"))).alias("s")).select("r", "k", F.length("r").alias("n"), "s.number", "s.at", "s.segment")
-    # only those forms of the index (length, k, number, place, length of segment) that occur are probed
-    forms = index.select("n", "k", "number", "at", F.length("segment").alias("m")).distinct()
-    probes = l_.withColumn("ln", F.length("l")).join(forms, (F.col("ln") >= F.col("n") - F.col("k")) & (F.col("ln") <= F.col("n") + F.col("k")))
-    # multi-match-aware shifts: left edits before the segment, right edits after it
-    shift = F.col("ln") - F.col("n")
-    lo = F.greatest(F.col("at") - F.col("number"), F.col("at") + shift - (F.col("k") - F.col("number")), F.lit(0))
-    hi = F.least(F.col("at") + F.col("number"), F.col("at") + shift + (F.col("k") - F.col("number")), F.col("ln") - F.col("m"))
-    probes = probes.where(hi >= lo).select("l", "n", "number", F.explode(F.array_distinct(F.transform(F.sequence(lo, hi), lambda p: F.substring(F.col("l"), p + 1, F.col("m"))))).alias("segment"))
-    pairs = probes.join(index.select("r", "k", "n", "number", "segment"), ["n", "number", "segment"]).select("l", "r", "k").distinct()
-    return pairs.withColumn("edits", F.expr("levenshtein(l, r, k)")).where("edits >= 0").select(F.col("l").alias("left"), F.col("r").alias("right"), "edits")
+    if swaps and most > 2:
+        raise ValueError("swaps are found for up to two edits")
+    l_ = left.where("length(text) > 0").select(F.col("text").alias("l")).distinct()
+    r = right.where("length(text) > 0").select(F.col("text").alias("r")).distinct()
+    k = allowed(F.length("r")).cast("int")
+    # an edit changes two letters of a text's set of letters at most, a swap none
+    index = _index(r.withColumn("letters_r", _letters(F.col("r"))), k, swaps)
+    met = _lookups(l_.withColumn("letters_l", _letters(F.col("l"))), allowed, most).join(index, ["n", "number", "segment"])
+    apart = F.bit_count(F.expr("letters_l ^ letters_r"))
+    pairs = met.where(apart <= 2 * k).select("l", "r", apart.alias("apart")).distinct().withColumn("k", k)
+    # the threshold form fills a band only; a swap counts as two edits here
+    near = pairs.withColumn("edits", F.expr(f"levenshtein(l, r, {2 if swaps else 1} * k)")).where("edits >= 0")
+    if swaps:
+        # beyond k edits, and where two may be one swap: what else changes letters is bounded
+        unsure = F.expr("edits > 1 AND (edits > k OR apart = 0 AND length(l) = length(r))")
+        swapped = near.where(unsure & F.expr("edits <= k OR apart <= 2 * (2 * k - edits)")).withColumn("edits", typing_edits(F.col("l"), F.col("r"))).where("edits <= k")
+        near = near.where(~unsure).unionByName(swapped)
+    return near.select(F.col("l").alias("left"), F.col("r").alias("right"), "edits")
