@@ -204,13 +204,14 @@ def survivors(players: DataFrame, people: DataFrame) -> DataFrame:
     sizes = people.groupBy("person_id").agg(F.count("*").alias("records"))
     fields = (*TEXT_FIELDS, *NUMBER_FIELDS)
     records = players.select("id", "record_source", "updated_at", *fields).dropDuplicates(["id"]).join(people, F.col("id") == F.col("player_id")).join(sizes, "person_id")
-    records = cut(records.select("person_id", "records", "record_source", "updated_at", *fields))
+    records = records.select("person_id", "records", "record_source", "updated_at", *fields)
     trust = F.coalesce(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv])[F.col("record_source")], F.lit(0.5))
     filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("double") for c in fields]) / len(fields)
     # up to one point for recency: half of it for each three years of age before the data's last update
-    last = records.agg(F.max("updated_at").alias("last"))
-    age = F.coalesce((F.unix_timestamp("last") - F.unix_timestamp("updated_at")) / (3 * 365.25 * 86400), F.lit(9.0))
-    weighted = records.where("records > 1").join(F.broadcast(last)).withColumn("weight", trust + filled + F.pow(F.lit(0.5), age))  # last is one row
+    several = cut(records.where("records > 1"))
+    last = several.agg(F.max(F.unix_timestamp("updated_at"))).first()[0]
+    age = F.coalesce((F.lit(last).cast("long") - F.unix_timestamp("updated_at")) / (3 * 365.25 * 86400), F.lit(9.0))
+    weighted = several.withColumn("weight", trust + filled + F.pow(F.lit(0.5), age))
     long = weighted.select("person_id", "weight", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"), F.lit(c in TEXT_FIELDS).alias("is_text")) for c in fields])).alias("f")).select("person_id", "weight", "f.*")
     # a filler date of birth yields to any other
     long = long.withColumn("weight", F.when((F.col("field") == "date_of_birth") & F.endswith(F.col("value"), F.lit("-01-01")), F.col("weight") / 100).otherwise(F.col("weight")))

@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import random
 
@@ -140,12 +141,41 @@ def test_keyless_matches(spark):
     assert matching.match(obs.limit(0), t, matches).collect() == []
 
 
+def test_close_codes_against_all_pairs(spark):
+    rng = random.Random(9)
+    t = spark.createDataFrame([(i, n) for i, n, _, _ in TEAMS], "id long, name string")
+    title = dict(t.collect())
+    typed = lambda d, n: d if rng.random() > n else d + rng.randint(-9, 9)
+    matches, pages_ = [], []
+    for k in range(120):
+        h, a = rng.sample(list(title), 2)
+        day, x, y = dt.date(2020, rng.randint(3, 9), rng.randint(1, 28)), rng.randint(30, 130), rng.randint(30, 130)
+        matches.append((k, 12020, day.isoformat(), None, h, a, x, y))
+        # three fields may be a digit off at once
+        date = dt.date(2020, day.month, min(28, max(1, typed(day.day, 0.5))))
+        pages_.append((f"p{k}", 2020, None if k % 11 == 0 else date, None if k % 13 == 0 else typed(x, 0.5), typed(y, 0.5), [h, a], [title[h], title[a]], None))
+    records = spark.createDataFrame(pages_, "page string, season int, date date, home_points int, away_points int, teams array<long>, names array<string>, known long")
+    m = spark.createDataFrame(matches, "id long, season_id long, date string, kickoff_at string, home_team_id long, away_team_id long, home_points int, away_points int")
+    got = {(r.page, r.match_id, r.d_turned) for r in matching.candidates(records, m, t).collect()}
+    for p in pages_:
+        for q in matches:
+            for turned, (x, y) in enumerate(((p[3], p[4]), (p[4], p[3]))):
+                if turned and x == y:
+                    continue
+                # chunks that differ for certain: year and month, day, all digits of the points but the last, the last
+                date, there = p[2], dt.date.fromisoformat(q[2])
+                apart = 0 if date is None else (date.month != there.month) + (date.day != there.day or date.month != there.month)
+                for v, w in ((x, q[6]), (y, q[7])):
+                    apart += 0 if v is None else (v // 10 != w // 10) + (v % 10 != w % 10)
+                same_team = set(p[5]) & {q[4], q[5]}
+                if None not in (p[2], x, y) and same_team and apart <= 3:
+                    assert (p[0], q[0], float(turned)) in got
+
+
 PLAYERS = "id long, first_name string, surname string, external_id string, external_afl_player_id string, date_of_birth string, height_cm int, weight_kg int, is_retired int, record_source string, updated_at timestamp, legacy_is_retired int, team string"
 
 
 def players(spark):
-    import datetime as dt
-
     rows = [
         (1, None, "Unattributed", None, None, None, None, None, None, "club", 2017),
         (10, "Anthony", "Culsidew", "p1", None, "2001-08-13", 189, 83, None, "footywire", 2020),
