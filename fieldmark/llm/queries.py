@@ -96,10 +96,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Classes of more than one spelling: their documents and spellings, by the smallest id."""
-    c = lookalike.classes(read_table(spark, d, "documents"))
-    sizes = c.groupBy("form").agg(F.min("doc_id").alias("class_id"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("raw").alias("spellings"))
-    return sizes.where("spellings > 1").drop("form")
+    """Every document of a class with several spellings, with its class."""
+    return lookalike.memberships(read_table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_members, p4_found, p4_unmatched, p5_found, p5_survivors, p5_lines, p6_found, p6_confidence, p8_found, p8_items, p9_mixture, p9_schedule, p10_found, p10_classes)}
