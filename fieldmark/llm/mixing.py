@@ -1,12 +1,15 @@
 """Mixing sources to target weights, in tokens of a public tokenizer.
 
-Method: a low-discrepancy schedule. Slot n of the mixture is the golden-ratio point frac(n * phi),
-mapped through the cumulative weights to a source; a source's k-th slot takes its k-th block, and its
+Method: a low-discrepancy schedule. The slots of the mixture are golden-ratio points in whole numbers,
+mapped through the cumulative weights to sources; a source's k-th slot takes its k-th block, and its
 blocks are equal numbers of tokens of its shuffled documents, one shuffle after the other while the
 source may be repeated. Any stretch of the mixture so holds the sources near their weights.
 
 The total is given, or all tokens of the sources with a target. A source gives at most max_repeats
-times its tokens; what it cannot give is left out, not given to others, and reported.
+times its tokens; what it cannot give is left out, not given to others, and reported. Shares sum to
+one, so where a source falls short the others necessarily stand above theirs in what is left: a
+source within reach meets its target as a share of the total (``share_of_total``), in which what is
+missing counts, and keeps its proportion to every other one within reach.
 
 Plan: documents are tokenized in one Arrow-batched pass; only ids and token counts are shuffled. Places
 within a source are prefix sums in two steps, over hash buckets and within a bucket, so that a source
@@ -22,28 +25,29 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from math import gcd, isqrt
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.plans.lineage import cut
 
 #: Folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
-#: Tokens of a block, buckets of a source's shuffle, and slots ranked by one task.
-BLOCK, BUCKETS, STRETCH = 2048, 1024, 8192
-GOLDEN = 0.6180339887498949
+TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
+#: Tokens of a block, documents of a bucket of a source's shuffle, and slots ranked by one task.
+BLOCK, BUCKET, STRETCH = 2048, 8192, 8192
 SEED = 11
 #: Fixed value: the public pattern by which the tokenizer splits a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
-def encoder(folder: str):
+def encoder(path: str):
     import tiktoken
 
-    with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as f:
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("byte_bpe_50k", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -51,8 +55,11 @@ def encoder(folder: str):
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, tokens) of each document with a source and tokens."""
 
+    # the file goes to the executors with the job: it need not lie at the same path there
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{VOCABULARY}")
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(folder)
+        e = encoder(SparkFiles.get(VOCABULARY))
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(e.encode_ordinary(t)) for t in b["text"]]})
 
@@ -79,8 +86,8 @@ def _all():
 def placed_documents(counts: DataFrame, budget: DataFrame) -> DataFrame:
     """(doc_id, source, tokens, repeat, begin): the use of each document and the token of its source
     at which it begins; uses that begin beyond the source's budget are left out."""
-    passes = budget.where("given > 0").select("source", "given", "available", F.explode(F.sequence(F.lit(0), F.ceil(F.col("given") / F.col("available")).cast("int") - 1)).alias("repeat"))
-    uses = counts.join(passes, "source").withColumn("h", F.xxhash64("doc_id", "repeat", F.lit(SEED))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    passes = budget.where("given > 0").select("source", "given", "available", F.greatest(F.ceil(F.col("documents") / BUCKET), F.lit(1)).alias("buckets"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("given") / F.col("available")).cast("int") - 1)).alias("repeat"))
+    uses = counts.join(passes, "source").withColumn("h", F.xxhash64("doc_id", "repeat", F.lit(SEED))).withColumn("bucket", F.pmod("h", F.col("buckets"))).drop("buckets")
     uses = cut(uses)
     sums = uses.groupBy("source", "repeat", "bucket").agg(F.sum("tokens").alias("n"))
     before = sums.selectExpr("source", "repeat", "bucket", "coalesce(sum(n) OVER (PARTITION BY source ORDER BY repeat, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
@@ -89,35 +96,44 @@ def placed_documents(counts: DataFrame, budget: DataFrame) -> DataFrame:
     return begun.where("begin < given").drop("given")
 
 
+def _golden_step(n: int) -> int:
+    """The number nearest to n over the golden ratio without a divisor in common with n."""
+    root = isqrt(5 * n * n)
+    near = (root - n) // 2
+    return next(a for d in range(n + 1) for a in (near + d, near - d) if 0 < a <= n and gcd(a, n) == 1)
+
+
 def slots(budget: DataFrame) -> DataFrame:
-    """(slot, source, block): the schedule. Each source has as many slots as its budget has blocks."""
+    """(slot, source, block): the schedule. Each source has exactly as many slots as its budget has blocks.
+
+    Of n slots, slot i has the point i * step mod n, with step next to n over the golden ratio and prime to
+    n: the golden-ratio sequence in whole numbers, which meets every point once. Points are mapped
+    through the cumulative numbers of blocks."""
     spark = budget.sparkSession
     rows = [(r.source, -(-r.given // BLOCK)) for r in budget.where("given > 0").orderBy("source").collect()]  # one row a source
     n = sum(k for _, k in rows)
     if not n:
         return spark.createDataFrame([], "slot long, source string, block long")
-    edges, upto = [], 0
-    for s, k in rows:
-        edges.append((s, upto / n, (upto + k) / n))
+    step, upto, cases = _golden_step(n), 0, []
+    for _, k in rows:
         upto += k
-    point = F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0))
-    source = F.coalesce(*[F.when(point < F.lit(b), F.lit(s)) for s, _, b in edges[:-1]], F.lit(edges[-1][0]))
-    drawn = spark.range(n).withColumn("source", source).withColumn("stretch", F.expr(f"id div {STRETCH}"))
+        cases.append(upto)
+    # a product of two numbers of 31 bits is a long, any other of up to 38 digits a decimal
+    point = F.expr(f"id * {step}L % {n}L") if n < 1 << 31 else F.expr(f"CAST(CAST(id AS DECIMAL(19,0)) * CAST({step} AS DECIMAL(19,0)) % CAST({n} AS DECIMAL(19,0)) AS BIGINT)")
+    source = F.coalesce(*[F.when(F.col("point") < F.lit(b), F.lit(s)) for (s, _), b in zip(rows[:-1], cases, strict=False)], F.lit(rows[-1][0]))
+    drawn = spark.range(n).withColumn("point", point).withColumn("source", source).withColumn("stretch", F.expr(f"id div {STRETCH}"))
     tally = drawn.groupBy("source", "stretch").agg(F.count("*").alias("k"))
     before = tally.selectExpr("source", "stretch", "coalesce(sum(k) OVER (PARTITION BY source ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
     return drawn.join(before, ["source", "stretch"]).selectExpr("id AS slot", "source", "before + row_number() OVER (PARTITION BY source, stretch ORDER BY id) - 1 AS block")
 
 
 def schedule(docs: DataFrame, targets: DataFrame, total: int | None = None, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
-    """(mixture, budget). mixture: (slot, source, block, doc_id, repeat, tokens) in the order of slot,
-    then begin; documents of a block past the schedule's last come at the end, in its last slots."""
+    """(mixture, budget). mixture: (slot, source, block, begin, doc_id, repeat, tokens) in the order of
+    slot, then begin. Every block has a slot of its own."""
     counts = cut(token_counts(docs, folder))
     budget = cut(budgets(counts, targets, total))
     placed = placed_documents(counts, budget).withColumn("block", F.expr(f"begin div {BLOCK}"))
-    # the points fall on a source once more or less than it has blocks: a block without a slot of its
-    # own goes to the end
-    mixture = placed.join(slots(budget), ["source", "block"], "left")
-    return mixture.select(F.coalesce("slot", F.lit((1 << 62))).alias("slot"), "source", "block", "begin", "doc_id", "repeat", "tokens"), budget
+    return placed.join(slots(budget), ["source", "block"]).select("slot", "source", "block", "begin", "doc_id", "repeat", "tokens"), budget
 
 
 def report(mixture: DataFrame, budget: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -17,10 +18,10 @@ def test_form_is_its_own_form(text):
 
 def test_what_is_alike_and_what_is_not():
     f = lookalike.transducer()
-    alike = [("Ｔｅａｍ　１", "Team 1"), ("te​am⁠", "team"), ("été", "été"), ("Мitсhеll", "Mitchell"), ("a b c", "a b c"), ("ﬁnal oﬃce", "final office"), ("well‑known", "well-known"), ("Ⅰ", "Ⅰ"), ("wait…", "wait..."), ("K", "K"), ("е́", "é"), ("so­ft", "soft")]
+    alike = [("Ｔｅａｍ　１", "Team 1"), ("te​am⁠", "team"), ("été", "été"), ("Мitсhеll", "Mitchell"), ("a b c", "a b c"), ("ﬁnal oﬃce", "final office"), ("well‑known", "well-known"), ("Ⅰ", "Ⅰ"), ("wait…", "wait..."), ("K", "K"), ("е́", "é"), ("so­ft", "soft"), ("ı\u0307", "i"), ("і\u0307", "i"), ("а\u0323\u0302", "ậ"), ("e\u200d\u0301", "é"), ("ﬁ\u0301", "fí"), ("Ａ\u0301", "Á")]
     for a, b in alike:
         assert f(a) == f(b), (a, b)
-    for a, b in [("é", "e"), ("a\nb", "a b"), ("A", "a"), ("a  b", "a b"), ("’", "'"), ("²", "2"), ("ß", "ss")]:
+    for a, b in [("é", "e"), ("a\nb", "a b"), ("A", "a"), ("a  b", "a b"), ("’", "'"), ("²", "2"), ("ß", "ss"), ("ı", "i"), ("ſun", "fun"), ("e\u0301", "e\u0300")]:
         assert f(a) != f(b), (a, b)
 
 
@@ -37,6 +38,14 @@ def test_pairs(spark):
     assert lookalike.p10_found(d.limit(0)).collect() == []
 
 
+def test_a_large_class_of_copies_with_one_odd_spelling(spark):
+    d = spark.range(2000).selectExpr("id AS doc_id", "CASE WHEN id = 7 THEN 'T\u0435am' ELSE 'Team' END AS text")
+    got = {tuple(r) for r in lookalike.p10_found(d).collect()}
+    assert got == {(min(k, 7), max(k, 7)) for k in range(2000) if k != 7}
+    m = lookalike.memberships(d).collect()
+    assert len(m) == 2000 and {tuple(r)[1:] for r in m} == {(0, 2, 2000)}
+
+
 def corpus():
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -125,6 +134,9 @@ def test_mixture(spark, monkeypatch):
     assert [s.slot for s in slots] == list(range(len(slots)))
     for s in ("big", "small", "tiny"):
         assert [x.block for x in slots if x.source == s] == list(range(sum(x.source == s for x in slots)))
+        given = next(b.given for b in budget.collect() if b.source == s)
+        assert sum(x.source == s for x in slots) == -(-given // 64)
+    assert {(x.slot, x.source, x.block) for x in rows} <= {tuple(x) for x in slots}
     # any quarter of the schedule holds the sources near their weights
     quarter = len(slots) // 4
     whole = sum(x.source == "big" for x in slots) / len(slots)
@@ -132,6 +144,12 @@ def test_mixture(spark, monkeypatch):
         assert abs(sum(x.source == "big" for x in slots[a : a + quarter]) / quarter - whole) < 0.06
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 894, 4096, 99991, 10**10, 3 * 10**12])
+def test_golden_step(n):
+    step = mixing._golden_step(n)
+    assert 0 < step <= n and math.gcd(step, n) == 1 and (n < 100 or abs(step / n - 0.618034) < 0.01)
+
+
 def test_mixture_of_nothing(spark):
     t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     mixture, budget = mixing.schedule(docs_of(spark, [("a", 1, 3)]).limit(0), t)
@@ -140,5 +158,5 @@ def test_mixture_of_nothing(spark):
 
 @pytest.mark.parametrize("text", ["naïve café", "a\nb  c", "12345", "日本"])
 def test_tokens_decode_back(text):
-    e = mixing.encoder(mixing.TOKENIZERS)
+    e = mixing.encoder(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}")
     assert e.decode(e.encode_ordinary(text)) == text
