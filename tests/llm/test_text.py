@@ -93,18 +93,57 @@ def test_items_in_parts(spark, monkeypatch):
     assert sorted(map(tuple, leaks.p8_found(leaks.find_leaks(d, i)).collect())) == whole
 
 
-def test_alignment_against_a_plain_table():
-    rng = np.random.default_rng(2)
+def edits_table(item, doc):
+    best = np.zeros((len(item) + 1, len(doc) + 1), dtype=int)
+    best[:, 0] = range(len(item) + 1)
+    for a in range(1, len(item) + 1):
+        for b in range(1, len(doc) + 1):
+            best[a, b] = min(best[a - 1, b - 1] + (item[a - 1] != doc[b - 1]), best[a - 1, b] + 1, best[a, b - 1] + 1)
+    return best
+
+
+@pytest.mark.parametrize("table", [leaks.TABLE, 40])
+def test_alignments_have_least_edits(monkeypatch, table):
+    monkeypatch.setattr(leaks, "TABLE", table)
+    rng = np.random.default_rng(5)
     for _ in range(60):
-        item, doc = rng.integers(0, 4, rng.integers(3, 14)).astype(np.uint64), rng.integers(0, 4, rng.integers(3, 20)).astype(np.uint64)
-        covered, replaced = leaks.passages([item, item[:2]], [doc, doc[:2]])[0]
-        best = np.zeros((len(item) + 1, len(doc) + 1), dtype=int)
-        for a in range(1, len(item) + 1):
-            for b in range(1, len(doc) + 1):
-                best[a, b] = max(0, best[a - 1, b - 1] + (1 if item[a - 1] == doc[b - 1] else -leaks.COST), best[a - 1, b] - leaks.COST, best[a, b - 1] - leaks.COST)
-        top = int(best.max())
-        # before its ends are drawn out, the passage's score is the best one plus what added words cost
-        assert (covered == 0) == (top == 0) and covered - replaced >= top
+        item = rng.integers(1, 5, rng.integers(1, 14)).astype(np.uint64)
+        doc = rng.integers(1, 5, rng.integers(0, 20)).astype(np.uint64)
+        least = edits_table(item, doc)[-1].min()
+        assert leaks.alignments([item], [doc])[0].sum() == least
+        two = leaks.alignments([item, item[:1]], [doc, doc[:3]])
+        assert two[0].sum() == least and two[1].sum() == edits_table(item[:1], doc[:3])[-1].min()
+
+
+def test_longest_passage_against_all_runs():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        bad = (rng.random(rng.integers(1, 60)) < rng.choice([0.05, 0.2, 0.6])).astype(int)
+        good = lambda k, bad=bad: 0 <= k < len(bad) and not bad[k]
+        runs = [b - a for a in range(len(bad)) for b in range(a + 1, len(bad) + 1) if good(a) and good(b - 1) and (good(a + 1) or good(a + 2)) and (good(b - 2) or good(b - 3)) and bad[a:b].sum() <= leaks.MOST_REPLACED * (b - a) + leaks.SLACK]
+        assert leaks.longest_passage(bad) == max(runs, default=0)
+
+
+def test_planted_passages():
+    """Passages of just over half an item, and of all of it, with a tenth of the words replaced, in
+    running text; and passages of two fifths, which are none."""
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(200)]
+    for share, want in ((0.5, 0.93), (0.55, 0.99), (1.0, 1.0), (0.4, 0.0)):
+        hits = 0
+        for _ in range(150):
+            n = rng.choice((76, 100, 124))
+            item = [rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(10**6)}" for _ in range(n)]
+            k = -(-int(n * share * 100) // 100)
+            at = rng.randint(0, n - k)
+            part = item[at : at + k]
+            for x in rng.sample(range(k), k // 10):
+                part[x] = f"r{rng.randrange(10**6)}"
+            text = rng.choices(common, k=150) + part + rng.choices(common, k=150)
+            found = leaks.Items([(1, leaks.codes(item))])
+            hits += bool(leaks.verify(found, np.array([[0, 0, 150 - at]]), [leaks.codes(text)]))
+        assert (hits / 150 >= want) if want else hits == 0, (share, hits)
+
 
 
 def docs_of(spark, sizes):
