@@ -105,16 +105,24 @@ def _chunk(field: str, half: int) -> Column:
     return F.shiftrightunsigned(v, CHUNK) if half else v.bitwiseAND(F.lit((1 << CHUNK) - 1))
 
 
-def _entries(coded: DataFrame, key: str, pairs: Column) -> DataFrame:
-    """(key, entry): the triples of chunks of each group, and where ``pairs`` holds the pairs of whole
-    fields; none that lack a field."""
+def _entries(coded: DataFrame, keys: list[str], pairs: Column) -> DataFrame:
+    """(keys, vectors, entry): the triples of chunks of each group, and where ``pairs`` holds the pairs of
+    whole fields; none that lack a field. Entries carry the code, so that candidates are verified where
+    they meet."""
     made = []
     sets = [(t, F.lit(True)) for group in GROUPS for t in combinations(group, 3)] + [(((a, 0), (a, 1), (b, 0), (b, 1)), pairs) for a, b in combinations(FIELDS, 2)]
     for n, (chunks, wanted) in enumerate(sets):
         full = reduce(lambda x, y: x & y, [F.col(f"v_{f}").isNotNull() for f, _ in chunks]) & wanted
         season = F.lit(0) if {("date", 0), ("date", 1)} <= set(chunks) else F.coalesce(F.col("season"), F.lit(-1))
         made.append(F.when(full, F.xxhash64(F.lit(n), season, *[_chunk(*c) for c in chunks])))
-    return coded.select(key, F.explode(F.array_compact(F.array(*made))).alias("entry")).distinct()
+    return coded.select(*keys, *[f"v_{f}" for f in FIELDS], F.explode(F.array_compact(F.array(*made))).alias("entry"))
+
+
+def _differ() -> Column:
+    """Chunks that differ between the codes l_v and r_v; null fields do not."""
+    mask = F.lit((1 << CHUNK) - 1)
+    chunks = lambda x: F.when(x.bitwiseAND(mask) != 0, 1).otherwise(0) + F.when(F.shiftrightunsigned(x, CHUNK) != 0, 1).otherwise(0)
+    return reduce(lambda x, y: x + y, [F.coalesce(chunks(F.col(f"l_v_{f}").bitwiseXOR(F.col(f"r_v_{f}"))), F.lit(0)) for f in FIELDS])
 
 
 def _dice(a: Column, b: Column) -> Column:
@@ -142,7 +150,7 @@ def candidates(records: DataFrame, matches: DataFrame, teams: DataFrame) -> Data
     either = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("turned"), F.col(x).alias("h"), F.col(y).alias("a")) for k, (x, y) in enumerate((("v_home", "v_away"), ("v_away", "v_home")))]))
     turned = _coded(records).select("*", either.alias("o")).where("o.turned = 0 OR NOT o.h <=> o.a").withColumns({"turned": F.col("o.turned"), "v_home": F.col("o.h"), "v_away": F.col("o.a")}).drop("o")
     left = turned.withColumn("name", F.explode_outer("names"))
-    left = cut(left.join(_named(left), "name", "left").withColumn("code", F.struct("page", "turned")))
+    left = cut(left.join(_named(left), "name", "left"))
     title = teams.groupBy(F.col("id").alias("team")).agg(F.min("name").alias("name"))
     m = matches.select(F.col("id").alias("match_id"), (F.col("season_id") % 10000).cast("int").alias("season"), date_of(F.coalesce("date", "kickoff_at")).alias("date"), "home_points", "away_points", F.array("home_team_id", "away_team_id").alias("teams")).dropDuplicates(["match_id"])
     right = _coded(m).withColumn("team", F.explode("teams")).join(title, "team", "left")
@@ -150,7 +158,9 @@ def candidates(records: DataFrame, matches: DataFrame, teams: DataFrame) -> Data
     some_null = reduce(lambda x, y: x | y, [F.col(f"v_{f}").isNull() for f in FIELDS])
     # a record with a null field meets the pairs of all others, and the other way round
     open_left, open_right = (not t.where(some_null).isEmpty() for t in (left, right))
-    pairs = _entries(left, "code", F.lit(True) if open_right else some_null).join(_entries(right, "match_id", F.lit(True) if open_left else some_null), "entry").select("code.page", "code.turned", "match_id").distinct()
+    l_, r_ = _entries(left, ["page", "turned"], F.lit(True) if open_right else some_null), _entries(right, ["match_id"], F.lit(True) if open_left else some_null)
+    met = l_.withColumnsRenamed({f"v_{f}": f"l_v_{f}" for f in FIELDS}).join(r_.withColumnsRenamed({f"v_{f}": f"r_v_{f}" for f in FIELDS}), "entry")
+    pairs = met.withColumn("differ", _differ()).where(F.col("differ") <= MOST_CHUNKS).groupBy("page", "turned", "match_id").agg(F.min("differ").alias("differ"))
     fields = ("v_date", "v_home", "v_away")
     l1 = left.groupBy("page", "turned").agg(*[F.first(c).alias(f"l{c}") for c in fields], F.collect_set("v_team").alias("l_v"), F.first("teams").alias("l_teams"), F.first("known").alias("known"))
     r1 = right.groupBy("match_id").agg(*[F.first(c).alias(f"r{c}") for c in fields], F.collect_set("v_team").alias("r_v"), F.first("teams").alias("r_teams"))
@@ -159,11 +169,7 @@ def candidates(records: DataFrame, matches: DataFrame, teams: DataFrame) -> Data
     # teams: the mean over the page's names of the best score of a name of the match
     best = F.aggregate(F.transform("l_v", lambda x: F.array_max(F.transform("r_v", lambda y: _dice(x, y)))), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
     d = both.withColumns({"d_date": _dice(F.col("lv_date"), F.col("rv_date")), "d_home": _dice(F.col("lv_home"), F.col("rv_home")), "d_away": _dice(F.col("lv_away"), F.col("rv_away")), "d_team": F.when(F.size("l_v") > 0, (best + F.when(F.size("l_teams") > 0, common).otherwise(0)) / (F.size("l_v") + F.size("l_teams")))})
-    mask = F.lit((1 << CHUNK) - 1)
-    chunks = lambda x: F.when(x.bitwiseAND(mask) != 0, 1).otherwise(0) + F.when(F.shiftrightunsigned(x, CHUNK) != 0, 1).otherwise(0)
-    apart = reduce(lambda x, y: x + y, [F.coalesce(chunks(F.col(f"l{f}").bitwiseXOR(F.col(f"r{f}"))), F.lit(0)) for f in fields])
-    team = F.coalesce(F.array_min(F.flatten(F.transform("l_v", lambda x: F.transform("r_v", lambda y: chunks(x.bitwiseXOR(y)))))), F.lit(0))
-    return d.withColumn("differ", apart + team).where(F.col("differ") <= MOST_CHUNKS).select("page", "match_id", "known", "d_date", "d_home", "d_away", "d_team", F.col("turned").alias("d_turned"), "differ")
+    return d.select("page", "match_id", "known", "d_date", "d_home", "d_away", "d_team", F.col("turned").alias("d_turned"), "differ")
 
 
 def _features() -> list[Column]:
