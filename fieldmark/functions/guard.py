@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 
+# The texts of this module's errors are part of the tool's contract.
 class ReadOnlySqlError(ValueError):
     """A statement that is not provably read-only; the message says which rule it breaks."""
 
@@ -56,5 +57,5 @@ def assert_read_only(sql: str) -> None:
     for w in SPARK_FORBIDDEN:
         if re.match(rf"EXPLAIN\s+{w}\b", text, re.I) or re.search(rf"\)\s*{w}\b", text, re.I):
             raise ReadOnlySqlError(f"Read-only access: {w} statements are not permitted.")
-    if re.search(r"\b(?:FROM|JOIN|,)\s*(?:parquet|orc|json|csv|text|avro|binaryfile|delta)\s*\.", text, re.I):
+    if re.search(r"(?:\b(?:FROM|JOIN)|,)\s*(?:parquet|orc|json|csv|text|avro|binaryfile|delta)\s*\.", text, re.I):
         raise ReadOnlySqlError("Read-only access: tables by path are not permitted.")

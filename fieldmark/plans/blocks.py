@@ -3,7 +3,7 @@ rows, each with copies of its neighbours' nearest rows, so that no task holds a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.plans.lineage import cut
@@ -24,8 +24,9 @@ def in_blocks(df: DataFrame, series: str, order: list[str], rows: int, halo: int
     placed = cut(placed.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth")).drop("_id"))
     # one row for each partition and series: as many rows as partitions plus series
     counts = placed.groupBy(series, "_part").agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"))
-    earlier = counts.alias("a").join(counts.alias("b"), F.col(f"a.{series}").eqNullSafe(F.col(f"b.{series}")) & (F.col("b._part") < F.col("a._part")), "left")
-    offsets = earlier.groupBy(F.col(f"a.{series}").alias("_series"), F.col("a._part").alias("_p"), F.col("a._first").alias("_first")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    # running sums over a series' partitions: of one series no more rows than there are partitions
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(series).alias("_series"), F.col("_part").alias("_p"), "_first", before.alias("_before"))
     indexed = placed.join(offsets, (F.col("_part") == F.col("_p")) & F.col(series).eqNullSafe(F.col("_series")))
     indexed = indexed.withColumn("_index", F.col("_before") + F.col("_nth") - F.col("_first")).drop("_part", "_nth", "_p", "_series", "_first", "_before")
     block = F.expr(f"_index div {rows}")

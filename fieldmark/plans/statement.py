@@ -6,17 +6,21 @@ import datetime as dt
 import decimal
 import json
 import re
+import threading
 import uuid
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.functions.dialect import to_spark
+from fieldmark.functions.dialect import grouped_by_too, to_spark
 from fieldmark.functions.guard import assert_read_only
 from fieldmark.functions.shaping import LIMIT, bounded
 
 #: Bytes of rows after which a reply stops reading.
 REPLY_BYTES = 4 * 1024 * 1024
+#: Columns that may stand beside the keys of a GROUP BY in one statement.
+MOST_KEYS = 64
 
 
 def _plain(value: object) -> object:
@@ -33,6 +37,10 @@ def _plain(value: object) -> object:
     return value
 
 
+def _missing(e: AnalysisException) -> str | None:
+    return (e.getMessageParameters() or {}).get("expression", "").strip('"') if e.getCondition() == "MISSING_AGGREGATION" else None
+
+
 @dataclass(frozen=True)
 class Statement:
     """A statement with its values; binding gives another statement and replaces all earlier values."""
@@ -41,6 +49,7 @@ class Statement:
     sql: str
     values: tuple = ()
     seconds: float | None = 30.0
+    now: str | None = None
 
     def bind(self, *values: object) -> Statement:
         return replace(self, values=values)
@@ -48,7 +57,30 @@ class Statement:
     def frame(self) -> DataFrame:
         """The rows as a DataFrame, unread. Raises where the statement does not only read."""
         assert_read_only(self.sql)
-        sql = to_spark(self.sql).strip().rstrip(";")
+        sql = to_spark(self.sql, self.now).strip().rstrip(";")
+        for _ in range(MOST_KEYS):
+            try:
+                return self._run(sql)
+            except AnalysisException as e:
+                missing = _missing(e)
+                if missing is None:
+                    raise
+                # a column that depends on the keys of its GROUP BY may stand beside them
+                wider = next((w for w in grouped_by_too(sql, missing) if self._other_fault(w) != missing), None)
+                if wider is None:
+                    raise
+                sql = wider
+        return self._run(sql)
+
+    def _other_fault(self, sql: str) -> str | None:
+        """The column that ``sql`` still lacks among its keys, or None."""
+        try:
+            self._run(sql)
+        except AnalysisException as e:
+            return _missing(e) or str(e)
+        return None
+
+    def _run(self, sql: str) -> DataFrame:
         if re.search(r"(?<![\w:]):p\d+", sql):
             return self.spark.sql(sql, args={f"p{k}": v for k, v in enumerate(self.values, 1) if re.search(rf":p{k}\b", sql)})
         return self.spark.sql(sql, args=list(self.values)) if self.values else self.spark.sql(sql)
@@ -60,13 +92,11 @@ class Statement:
         rows, used, short = [], 0, False
         tag = f"fieldmark-{uuid.uuid4().hex}"
         self.spark.addTag(tag)
+        timer = threading.Timer(self.seconds, lambda: self.spark.interruptTag(tag)) if self.seconds else None
+        if timer:
+            timer.daemon = True
+            timer.start()
         try:
-            import threading
-
-            timer = threading.Timer(self.seconds, lambda: self.spark.interruptTag(tag)) if self.seconds else None
-            if timer:
-                timer.daemon = True
-                timer.start()
             for row in self.frame().toLocalIterator():
                 plain = _plain(row.asDict(recursive=True))
                 used += len(json.dumps(plain, default=str))
@@ -74,9 +104,9 @@ class Statement:
                     short = True
                     break
                 rows.append(plain)
+        finally:
             if timer:
                 timer.cancel()
-        finally:
             self.spark.removeTag(tag)
         return {"results": rows, "success": True, "meta": {"rows_read": len(rows), "stopped_short": short}}
 
@@ -91,16 +121,17 @@ class Statement:
 
 
 class Catalog:
-    """The tables of one immutable snapshot directory, as views under their own names."""
+    """The tables of one immutable snapshot directory, as views under their own names. ``now``: what
+    'now' means in its statements."""
 
-    def __init__(self, spark: SparkSession, directory: str, tables: tuple[str, ...]):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, directory: str, tables: tuple[str, ...], now: str | None = None):
+        self.spark, self.now = spark, now
         spark.conf.set("spark.sql.runSQLOnFiles", "false")
         for name in tables:
             spark.read.parquet(f"{directory}/{name}.parquet").createOrReplaceTempView(name)
 
     def prepare(self, sql: str) -> Statement:
-        return Statement(self.spark, sql)
+        return Statement(self.spark, sql, now=self.now)
 
     def query(self, sql: str, *values: object) -> dict:
         return self.prepare(sql).bind(*values).all()
