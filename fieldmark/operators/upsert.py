@@ -36,8 +36,9 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merge(old: DataFrame, new: DataFrame, manifest: list[Rule]) -> DataFrame:
-    """Old and new rows as one table, with ``_change``: inserted, updated, or null for unchanged.
+def merge(old: DataFrame, new: DataFrame, manifest: list[Rule], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Old and new rows as one table, with ``_change``: inserted, updated, or null for unchanged, and
+    ``_was_<column>``, the old value, of the columns in ``keep``.
 
     One full outer join on the keys; Spark sorts and merges, or hashes where a side is small.
     """
@@ -65,7 +66,7 @@ def merge(old: DataFrame, new: DataFrame, manifest: list[Rule]) -> DataFrame:
         out.append(value.alias(c))
     changed = reduce(lambda a, b: a | b, differs) if differs else F.lit(False)
     change = F.when(fresh, "inserted").when(~kept & changed, "updated")
-    return both.select(*out, change.alias("_change"))
+    return both.select(*out, change.alias("_change"), *[was(c).alias(f"_was_{c}") for c in keep])
 
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,8 +92,12 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def affected(merged: DataFrame, column: str) -> DataFrame:
-    """Distinct values of ``column`` in changed rows: what derived tables must be rebuilt for."""
-    return merged.where("_change is not null").select(column).distinct()
+    """Distinct values of ``column`` in changed rows, the old ones too where the merge kept them: what
+    derived tables must be rebuilt for."""
+    changed = merged.where("_change is not null")
+    values = F.array(*[c for c in (column, f"_was_{column}") if c in merged.columns])
+    known = changed.select(F.explode(F.array_compact(values)).alias(column))
+    return known.unionByName(changed.where(f"{column} is null").select(column)).distinct()
 
 
 def with_keys(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "row_values": "SELECT n_nationkey FROM {nation} WHERE (n_regionkey, n_nationkey) IN ((0, 0), (1, 1), (2, 7))",
     "case_ladder": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band FROM {orders}",
     "safe_divide": "SELECT id, round(CAST(home_points AS DOUBLE) / nullif(away_behinds, 0), 4) AS ratio FROM {matches}",
-    "string_dates": "SELECT id FROM {matches} WHERE substr(date, 1, 10) >= '2020-01-01' AND substr(date, 1, 10) < '2021-01-01'",
+    "string_dates": "SELECT id FROM {matches} WHERE substr(date, 1, 10) >= '2018-01-01' AND substr(date, 1, 10) < '2027-01-01'",
     # joins
     "join_star": "SELECT r_name, n_name, count(*) AS n, round(sum(o_totalprice), 0) AS total FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
     "join_two_roles": "SELECT m.id, h.name AS home, a.name AS away FROM {matches} m JOIN {teams} h ON h.id = m.home_team_id JOIN {teams} a ON a.id = m.away_team_id",
@@ -32,7 +32,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "join_in_subquery": "SELECT o_orderkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')",
     "join_anti": "SELECT o_orderkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)",
     "join_self": "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
-    "join_full_using": "SELECT k, s.s_name, c.c_name FROM (SELECT s_suppkey AS k, s_name FROM {supplier}) s FULL OUTER JOIN (SELECT c_custkey AS k, c_name FROM {customer} WHERE c_custkey % 3 = 0) c USING (k)",
+    "join_full_using": "SELECT k, s.s_name, c.c_name FROM (SELECT s_suppkey AS k, s_name FROM {supplier}) s FULL OUTER JOIN (SELECT c_custkey AS k, c_name FROM {customer} WHERE c_acctbal > 0) c USING (k)",
     "join_canonical": "SELECT v.id, c.name FROM {venues} v JOIN {venues} c ON c.id = coalesce(v.canonical_venue_id, v.id)",
     "join_latest_row": "SELECT player_id, match_id, id FROM (SELECT player_id, match_id, id, row_number() OVER (PARTITION BY player_id ORDER BY match_id DESC, id DESC) AS k FROM {player_match_stats}) WHERE k = 1",
     "join_argmax": ("SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS best FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS best FROM orders GROUP BY o_custkey"),
@@ -71,7 +71,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "set_union_all": "SELECT 'customer' AS kind, c_nationkey AS k FROM {customer} UNION ALL SELECT 'supplier', s_nationkey FROM {supplier}",
     "set_union": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}",
     "set_intersect": "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}",
-    "set_except": "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem}",
+    "set_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000",
     "scalar_subquery": "SELECT n_name, (SELECT count(*) FROM {customer} WHERE c_nationkey = n_nationkey) AS customers FROM {nation}",
     "exists_in_count": "SELECT m.status, count(CASE WHEN l.match_id IS NOT NULL THEN 1 END) AS listed, count(*) AS n FROM {matches} m LEFT JOIN (SELECT DISTINCT match_id FROM {match_lineups}) l ON l.match_id = m.id GROUP BY m.status",
     "recursive": ("WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS sq FROM t"),
@@ -83,7 +83,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "hash_sha256": ("SELECT doc_id, sha2(text, 256) AS h FROM {documents}", "SELECT doc_id, sha256(text) AS h FROM documents"),
     "date_add_text": ("SELECT o_orderkey, date_format(date_add(o_orderdate, -3), 'yyyy-MM-dd') AS d FROM {orders}", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - 3, '%Y-%m-%d') AS d FROM orders"),
     "julian_day": ("SELECT event_id, round(unix_timestamp(ts) / 86400D + 2440587.5D, 3) AS jd FROM {events}", "SELECT event_id, round(floor(epoch(ts)) / 86400 + 2440587.5, 3) AS jd FROM events"),
-    "melbourne_time": ("SELECT event_id, date_format(from_utc_timestamp(ts, 'Australia/Melbourne'), 'yyyy-MM-dd HH:mm:ss') AS local FROM {events} WHERE ts < timestamp '2024-03-01'", "SELECT event_id, strftime(ts + INTERVAL 11 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events WHERE ts < TIMESTAMP '2024-03-01'"),
+    "melbourne_time": ("SELECT doc_id, date_format(from_utc_timestamp(published_at, 'Australia/Melbourne'), 'yyyy-MM-dd HH:mm:ss') AS local FROM {documents}", "SELECT doc_id, strftime(timezone('Australia/Melbourne', timezone('UTC', published_at)), '%Y-%m-%d %H:%M:%S') AS local FROM documents"),
     "name_form": ("SELECT id, regexp_replace(lower(coalesce(surname, '')), '[^a-z0-9]', '') AS plain FROM {players}", "SELECT id, regexp_replace(lower(coalesce(surname, '')), '[^a-z0-9]', '', 'g') AS plain FROM players"),
     "retry_hours": "SELECT o_orderkey, CAST(least(power(2, least(greatest(o_orderkey % 9, 1) - 1, 5)), 24) AS INT) AS hours FROM {orders}",
     "js_round": "SELECT match_id, kind, floor(temp_c * 10 + 0.5) / 10 AS t FROM {match_weather}",

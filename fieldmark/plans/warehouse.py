@@ -95,12 +95,26 @@ def career_arc(w: Warehouse) -> DataFrame:
     return w.stats("match_id", "player_id", "disposals", "goals").join(m, "match_id").groupBy("code", "year", "player_id").agg(F.count("*").alias("games"), F.sum("disposals").alias("total_disposals"), F.sum("goals").alias("total_goals"))
 
 
+def career_values(w: Warehouse) -> DataFrame:
+    """Games, disposals, goals and value of every player and season, with names. The value joins by player
+    and season alone, so a player with values for two teams has a row for each of them."""
+    m = w.matches().select(F.col("id").alias("match_id"), "season_id", "code", "year")
+    names = w.table("players").select(F.col("id").alias("player_id"), "first_name", "surname").dropDuplicates(["player_id"])
+    value = season_value(w, False).select("season_id", "player_id", "off_value", "mid_value", "def_value", "total_value")
+    sums = w.stats("match_id", "player_id", "disposals", "goals").join(m, "match_id").groupBy("season_id", "code", "year", "player_id").agg(F.count("*").alias("games"), F.sum("disposals").alias("total_disposals"), F.sum("goals").alias("total_goals"))
+    # two teams with the very same values are one group
+    return sums.join(value.distinct(), ["season_id", "player_id"], "left").join(names, "player_id", "left").select("code", "year", "player_id", "first_name", "surname", "games", "total_disposals", "total_goals", "total_value")
+
+
 def source_comparisons(w: Warehouse) -> DataFrame:
-    """Coach names of two providers for the same match and team where they differ as typed."""
-    o = w.table("coach_observations").where("match_id is not null AND team_id is not null").select("provider", "match_id", "team_id", "display_name", "coach_id").distinct()
-    a = o.where("provider = 'afl-tables'").select("match_id", "team_id", F.col("display_name").alias("first_coach"), F.col("coach_id").alias("first_id"))
-    b = o.where("provider = 'footywire'").select("match_id", "team_id", F.col("display_name").alias("second_coach"), F.col("coach_id").alias("second_id"))
-    return a.join(b, ["match_id", "team_id"]).where("first_id <> second_id").select("match_id", "team_id", "first_coach", "second_coach")
+    """Coach names of two providers for the same day and team where they differ as typed: the match where
+    it is stated, else the typed day and team."""
+    o = w.table("coach_observations").select("provider", F.coalesce(F.concat_ws("/", F.lit("m"), F.col("match_id"), F.col("team_id")), F.lit("")).alias("stated"), "match_id", "match_date", "raw_team", "display_name", "coach_id").distinct()
+    key = F.when(F.col("match_id").isNotNull(), F.col("stated")).otherwise(F.concat_ws("/", "match_date", "raw_team"))
+    o = o.where("match_id is not null OR match_date is not null AND raw_team is not null").select("provider", key.alias("slot"), "display_name", "coach_id")
+    a = o.where("provider = 'afl-tables'").select("slot", F.col("display_name").alias("first_coach"), F.col("coach_id").alias("first_id")).distinct()
+    b = o.where("provider = 'footywire'").select("slot", F.col("display_name").alias("second_coach"), F.col("coach_id").alias("second_id")).distinct()
+    return a.join(b, "slot").where("first_id <> second_id").select("slot", "first_coach", "second_coach")
 
 
 def lineup_changes(w: Warehouse) -> DataFrame:
@@ -166,6 +180,33 @@ def integrity(w: Warehouse, which: str) -> DataFrame:
     raise ValueError(f"no invariant {which!r}")
 
 
+def integrity_counts(w: Warehouse) -> DataFrame:
+    """For each invariant how many rows have all its operands, and how many of them break it."""
+    quarters = [(F.col(f"{s}_{k}"), reduce(lambda a, b: a + b, [F.col(f"{s}_q{q}_{k}") for q in range(1, 5)])) for s in ("home", "away") for k in ("goals", "behinds")]
+    matches = {
+        "margin": [(F.col("margin"), F.col("home_points") - F.col("away_points"))],
+        "match_points": [(F.col(f"{s}_points"), F.col(f"{s}_goals") * 6 + F.col(f"{s}_behinds")) for s in ("home", "away")],
+        "quarter_scores": quarters,
+    }
+    lines = {"disposals": [(F.col("disposals"), F.col("kicks") + F.col("handballs"))], "clearances": [(F.col("clearances"), F.col("centre_clearances") + F.col("stoppage_clearances"))]}
+    parts = []
+    for table, checks in ((w.table("matches"), matches), (w.stats("kicks", "handballs", "disposals", "clearances", "centre_clearances", "stoppage_clearances"), lines)):
+        found = table.agg(*[F.struct(F.count_if(reduce(lambda a, b: a & b, [(x - y).isNotNull() for x, y in pairs])).alias("checked"), F.count_if(reduce(lambda a, b: a | b, [F.coalesce(x != y, F.lit(False)) for x, y in pairs])).alias("broken")).alias(name) for name, pairs in checks.items()])
+        parts.append(found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("invariant"), f"{n}.checked", f"{n}.broken") for n in checks])).alias("x")).select("x.*"))
+    return parts[0].unionByName(parts[1])
+
+
+def value_gaps(w: Warehouse) -> DataFrame:
+    """For each season what keeps its player values unknown: matches without a score, sides without lines,
+    lines without an input; and whether nothing does."""
+    m = w.matches().where("status = 'Complete'")
+    played = m.select(F.col("id").alias("match_id"), "season_id", (F.col("home_points").isNull() | F.col("away_points").isNull()).alias("unscored"), F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
+    broken = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in VALUE_INPUTS])
+    lines = w.stats("match_id", "team_id", *VALUE_INPUTS).groupBy("match_id", "team_id").agg(F.count_if(broken).alias("broken"))
+    g = played.join(lines, ["match_id", "team_id"], "left").groupBy("season_id").agg(F.count_if("unscored").alias("unscored_sides"), F.count_if(F.col("broken").isNull()).alias("sides_without_lines"), F.sum(F.coalesce("broken", F.lit(0))).alias("lines_without_input"))
+    return g.withColumn("complete", F.expr("unscored_sides + sides_without_lines + lines_without_input = 0"))
+
+
 def player_value(matches: DataFrame, stats: DataFrame, require_complete: bool = True) -> DataFrame:
     """(season_id, player_id, team_id, off_value, mid_value, def_value, total_value) of all seasons.
 
@@ -263,18 +304,26 @@ def match_inventory(w: Warehouse) -> DataFrame:
     return m.groupBy("code", "year").agg(F.count("*").alias("n_matches"), F.count_if(F.col("status") == "Complete").alias("played"), F.count_if(F.col("status") == "Cancelled").alias("cancelled"), F.count_if(~F.coalesce(F.col("status").isin("Complete", "Cancelled"), F.lit(False))).alias("unsettled"), F.count("s").alias("with_statistics"), F.count("l").alias("with_lineups"), F.count("w").alias("with_weather"))
 
 
-def audit(w: Warehouse, most: int | None = None) -> DataFrame:
+def audit(w: Warehouse) -> DataFrame:
     """(issue, record_id) findings: played matches without statistics, line-ups naming players unknown
-    to ``players``, statistic lines of unknown matches. ``most`` bounds the report, if given."""
+    to ``players``, statistic lines of unknown matches, players whose value is unknown."""
     played = w.matches().where("status = 'Complete'").select(F.col("id").alias("match_id"))
     stats, lineups = w.table("player_match_stats").select("match_id").distinct(), w.table("match_lineups").select(F.col("player_id").alias("id")).distinct()
     kinds = [
         ("played-without-statistics", played.join(stats, "match_id", "left_anti").select(F.col("match_id").alias("record"))),
         ("listed-player-unknown", lineups.join(w.table("players").select("id"), "id", "left_anti").select(F.col("id").alias("record"))),
         ("statistics-of-unknown-match", stats.join(w.table("matches").select(F.col("id").alias("match_id")), "match_id", "left_anti").select(F.col("match_id").alias("record"))),
+        ("value-unknown", season_value(w).where("total_value is null").select(F.col("player_id").alias("record")).distinct()),
     ]
-    out = reduce(DataFrame.unionByName, [df.select(F.lit(issue).alias("issue"), F.col("record").cast("string").alias("record_id")) for issue, df in kinds])
-    return out if most is None else out.orderBy("issue", "record_id").limit(most)
+    return reduce(DataFrame.unionByName, [df.select(F.lit(issue).alias("issue"), F.col("record").cast("string").alias("record_id")) for issue, df in kinds])
+
+
+def audit_page(w: Warehouse, most: int = 100) -> DataFrame:
+    """The first ``most`` findings of :func:`audit`, and whether there are more: one finding more than
+    asked for is looked at, and no count of them all."""
+    probe = audit(w).orderBy("issue", "record_id").limit(most + 1)
+    ranked = probe.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("issue", "record_id")))  # at most most + 1 rows
+    return ranked.withColumn("truncated", F.max("_n").over(Window.partitionBy(F.lit(1))) > most).where(F.col("_n") <= most).select("issue", "record_id", "truncated")
 
 
 def weather_sanity(w: Warehouse) -> DataFrame:

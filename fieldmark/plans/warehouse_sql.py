@@ -1,5 +1,6 @@
 """DuckDB SQL of the warehouse queries, written from the definitions and not from the plans."""
 
+
 M = "m AS (SELECT *, CAST(season_id // 10000 AS INT) AS competition_id, CAST(season_id % 10000 AS INT) AS year, CASE season_id // 10000 WHEN 1 THEN 'AFLM' WHEN 2 THEN 'AFLW' WHEN 3 THEN 'VFL' WHEN 4 THEN 'VFLW' END AS code FROM matches)"
 S = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY load_no DESC NULLS LAST) AS rn FROM player_match_stats) WHERE rn = 1)"
 INPUTS = ("goals", "behinds", "hitouts", "goal_assists", "inside_fifties", "marks_inside_fifty", "free_kicks_for", "free_kicks_against", "rebounds", "one_percenters", "marks", "clearances", "tackles")
@@ -34,6 +35,12 @@ v AS (SELECT k.season_id, k.player_id, k.team_id, complete, o / o_all * po AS o,
 SELECT season_id, player_id, team_id, {", ".join(f"CASE WHEN {known} THEN CASE WHEN round({x}, 2) = 0 THEN 0 ELSE round({x}, 2) END END AS {name}_value" for x, name in (("o", "off"), ("mi", "mid"), ("de", "def"), ("o + mi + de", "total")))} FROM v"""
 
 
+AUDIT = f"""
+SELECT 'played-without-statistics' AS issue, CAST(id AS VARCHAR) AS record_id FROM matches m WHERE status = 'Complete' AND NOT EXISTS (SELECT 1 FROM player_match_stats p WHERE p.match_id = m.id)
+UNION ALL SELECT DISTINCT 'listed-player-unknown', CAST(player_id AS VARCHAR) FROM match_lineups l WHERE NOT EXISTS (SELECT 1 FROM players p WHERE p.id = l.player_id)
+UNION ALL SELECT DISTINCT 'statistics-of-unknown-match', CAST(match_id AS VARCHAR) FROM player_match_stats s WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.id = s.match_id)
+UNION ALL SELECT DISTINCT 'value-unknown', CAST(player_id AS VARCHAR) FROM ({value_sql(True)}) WHERE total_value IS NULL"""
+
 SQL = {
     "ladder": f"""
 WITH {M}, x AS (SELECT code, year, home_team_id AS team_id, home_points AS pf, away_points AS pa, round_type, round_abbreviation, status FROM m
@@ -51,9 +58,8 @@ WHERE m.id IN (SELECT max(id) FROM m WHERE round_type = 'Finals' AND status = 'C
     "career_arc": f"""
 WITH {M}, {S} SELECT code, year, player_id, count(*) AS games, CAST(sum(disposals) AS BIGINT) AS total_disposals, CAST(sum(goals) AS BIGINT) AS total_goals FROM s JOIN m ON m.id = s.match_id GROUP BY 1, 2, 3""",
     "source_comparisons": """
-WITH o AS (SELECT DISTINCT provider, match_id, team_id, display_name, coach_id FROM coach_observations)
-SELECT a.match_id, a.team_id, a.display_name AS first_coach, b.display_name AS second_coach FROM o a JOIN o b ON a.match_id = b.match_id AND a.team_id = b.team_id
-WHERE a.provider = 'afl-tables' AND b.provider = 'footywire' AND a.coach_id <> b.coach_id""",
+WITH o AS (SELECT DISTINCT provider, CASE WHEN match_id IS NOT NULL THEN concat_ws('/', 'm', match_id, team_id) ELSE match_date || '/' || raw_team END AS slot, display_name, coach_id FROM coach_observations)
+SELECT a.slot, a.display_name AS first_coach, b.display_name AS second_coach FROM o a JOIN o b ON a.slot = b.slot WHERE a.provider = 'afl-tables' AND b.provider = 'footywire' AND a.coach_id <> b.coach_id""",
     "lineup_changes": f"""
 WITH {M}, l AS (SELECT DISTINCT season_id, team_id, match_id, player_id FROM match_lineups JOIN m ON m.id = match_id WHERE is_emergency = 0),
 st AS (SELECT team_id, match_id, lag(match_id) OVER (PARTITION BY season_id, team_id ORDER BY match_id) AS previous_id FROM (SELECT DISTINCT season_id, team_id, match_id FROM l))
@@ -86,10 +92,23 @@ FROM x GROUP BY 1, 2""",
 WITH {M} SELECT code, year, count(*) AS n_matches, count(*) FILTER (WHERE status = 'Complete') AS played, count(*) FILTER (WHERE status = 'Cancelled') AS cancelled,
   count(*) FILTER (WHERE status IS NULL OR status NOT IN ('Complete', 'Cancelled')) AS unsettled, count(*) FILTER (WHERE id IN (SELECT match_id FROM player_match_stats)) AS with_statistics,
   count(*) FILTER (WHERE id IN (SELECT match_id FROM match_lineups)) AS with_lineups, count(*) FILTER (WHERE id IN (SELECT match_id FROM match_weather WHERE kind = 'observed')) AS with_weather FROM m GROUP BY 1, 2""",
-    "audit": """
-SELECT 'played-without-statistics' AS issue, CAST(id AS VARCHAR) AS record_id FROM matches m WHERE status = 'Complete' AND NOT EXISTS (SELECT 1 FROM player_match_stats p WHERE p.match_id = m.id)
-UNION ALL SELECT DISTINCT 'listed-player-unknown', CAST(player_id AS VARCHAR) FROM match_lineups l WHERE NOT EXISTS (SELECT 1 FROM players p WHERE p.id = l.player_id)
-UNION ALL SELECT DISTINCT 'statistics-of-unknown-match', CAST(match_id AS VARCHAR) FROM player_match_stats s WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.id = s.match_id)""",
+    "audit": AUDIT,
+    "audit_page": f"SELECT issue, record_id, (SELECT count(*) FROM ({AUDIT})) > 100 AS truncated FROM ({AUDIT}) ORDER BY issue, record_id LIMIT 100",
+    "career_values": f"""
+WITH {M}, {S}, v AS (SELECT DISTINCT season_id, player_id, off_value, mid_value, def_value, total_value FROM ({value_sql(False)})), g AS (SELECT season_id, code, year, player_id, count(*) AS games, CAST(sum(disposals) AS BIGINT) AS total_disposals, CAST(sum(goals) AS BIGINT) AS total_goals FROM s JOIN m ON m.id = s.match_id GROUP BY 1, 2, 3, 4)
+SELECT code, year, g.player_id, first_name, surname, games, total_disposals, total_goals, total_value FROM g LEFT JOIN v USING (season_id, player_id) LEFT JOIN players p ON p.id = g.player_id""",
+    "integrity_counts": f"""
+WITH {S}, q AS (SELECT home_goals AS a, home_q1_goals + home_q2_goals + home_q3_goals + home_q4_goals AS b, away_goals AS c, away_q1_goals + away_q2_goals + away_q3_goals + away_q4_goals AS d, home_behinds AS e, home_q1_behinds + home_q2_behinds + home_q3_behinds + home_q4_behinds AS f, away_behinds AS g, away_q1_behinds + away_q2_behinds + away_q3_behinds + away_q4_behinds AS h FROM matches)
+SELECT 'margin' AS invariant, count(margin - home_points + away_points) AS checked, count(*) FILTER (WHERE margin <> home_points - away_points) AS broken FROM matches
+UNION ALL SELECT 'match_points', count(home_points + home_goals + home_behinds + away_points + away_goals + away_behinds), count(*) FILTER (WHERE home_points <> home_goals * 6 + home_behinds OR away_points <> away_goals * 6 + away_behinds) FROM matches
+UNION ALL SELECT 'quarter_scores', count(a + b + c + d + e + f + g + h), count(*) FILTER (WHERE a <> b OR c <> d OR e <> f OR g <> h) FROM q
+UNION ALL SELECT 'disposals', count(disposals + kicks + handballs), count(*) FILTER (WHERE disposals <> kicks + handballs) FROM s
+UNION ALL SELECT 'clearances', count(clearances + centre_clearances + stoppage_clearances), count(*) FILTER (WHERE clearances <> centre_clearances + stoppage_clearances) FROM s""",
+    "value_gaps": f"""
+WITH {M}, {S}, l AS (SELECT match_id, team_id, count(*) FILTER (WHERE {" OR ".join(f"{c} IS NULL" for c in INPUTS)}) AS broken FROM s GROUP BY 1, 2),
+p AS (SELECT id AS match_id, season_id, home_points IS NULL OR away_points IS NULL AS unscored, unnest([home_team_id, away_team_id]) AS team_id FROM m WHERE status = 'Complete')
+SELECT season_id, count(*) FILTER (WHERE unscored) AS unscored_sides, count(*) FILTER (WHERE broken IS NULL) AS sides_without_lines, CAST(sum(coalesce(broken, 0)) AS BIGINT) AS lines_without_input,
+  count(*) FILTER (WHERE unscored OR broken IS NULL OR broken > 0) = 0 AS complete FROM p LEFT JOIN l USING (match_id, team_id) GROUP BY 1""",
     "weather_sanity": """
 SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE temp_c IS NULL) AS no_temp, count(*) FILTER (WHERE temp_c NOT BETWEEN -20 AND 55) AS bad_temp, count(*) FILTER (WHERE humidity_pct NOT BETWEEN 0 AND 100) AS bad_humidity,
   count(*) FILTER (WHERE precip_mm < 0) AS bad_rain, count(*) FILTER (WHERE wind_gust_kmh < wind_speed_kmh) AS gust_below_wind FROM match_weather GROUP BY 1""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import instants, profile, spikes
-from fieldmark.plans import operations, relational, warehouse_sql
+from fieldmark.plans import operations, relational, surface, upkeep, warehouse_sql
 from fieldmark.plans import warehouse as wh
 from fieldmark.sources import read_table
 
@@ -61,8 +61,8 @@ def _on_warehouse(f: Callable[..., DataFrame], *args) -> Callable[[SparkSession,
 
 
 PROBLEMS = {f.__name__: f for f in (p1_found, p1_statuses, p3_found, p3_columns, p3_loads, p7_found, p7_faults)}
-WAREHOUSE = {f.__name__: _on_warehouse(f) for f in (wh.ladder, wh.match_names, wh.grand_finals, wh.career_arc, wh.source_comparisons, wh.lineup_changes, wh.wet_games, wh.tipping, wh.season_value, wh.team_values, wh.match_coaches, wh.swapped_sides, wh.coverage, wh.match_inventory, wh.audit, wh.weather_sanity, wh.birth_coverage)}
+WAREHOUSE = {f.__name__: _on_warehouse(f) for f in (wh.ladder, wh.match_names, wh.grand_finals, wh.career_arc, wh.career_values, wh.source_comparisons, wh.lineup_changes, wh.wet_games, wh.tipping, wh.season_value, wh.team_values, wh.match_coaches, wh.swapped_sides, wh.coverage, wh.match_inventory, wh.audit, wh.audit_page, wh.integrity_counts, wh.value_gaps, wh.weather_sanity, wh.birth_coverage)}
 WAREHOUSE |= {f"integrity_{k}": _on_warehouse(wh.integrity, k) for k in ("margin", "match_points", "quarter_scores", "disposals", "clearances", "votes")}
 WAREHOUSE["season_value_known"] = _on_warehouse(wh.season_value, False)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = PROBLEMS | WAREHOUSE | relational.QUERIES | operations.QUERIES
-SQL: dict[str, str] = warehouse_sql.SQL | relational.SQL | operations.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = PROBLEMS | WAREHOUSE | relational.QUERIES | surface.QUERIES | operations.QUERIES | upkeep.QUERIES
+SQL: dict[str, str] = warehouse_sql.SQL | relational.SQL | surface.SQL | operations.SQL | upkeep.SQL

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,24 +11,37 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldmark.operators.upsert import Rule, affected, latest, merge
 
 
+def _files(spark: SparkSession, folder: str):
+    """(file system, path of CURRENT, Hadoop's Path class) of a folder on any storage that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    current = path(f"{folder}/CURRENT")
+    return current.getFileSystem(spark._jsc.hadoopConfiguration()), current, path
+
+
 def published(spark: SparkSession, folder: str) -> DataFrame | None:
     """The table last published in ``folder``, or None."""
-    try:
-        with open(os.path.join(folder, "CURRENT")) as f:
-            return spark.read.parquet(os.path.join(folder, f.read().strip()))
-    except FileNotFoundError:
+    fs, current, _ = _files(spark, folder)
+    if not fs.exists(current):
         return None
+    version = spark.read.text(current.toString()).first()[0].strip()
+    return spark.read.parquet(f"{folder}/{version}")
 
 
 def publish(df: DataFrame, folder: str) -> None:
     """Writes a new version beside the old one, then points CURRENT at it by one rename: readers see
     the whole old or the whole new table, and a batch that runs again publishes the same rows."""
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(os.path.join(folder, version))
-    temporary = os.path.join(folder, f".{version}")
-    with open(temporary, "w") as f:
-        f.write(version)
-    os.replace(temporary, os.path.join(folder, "CURRENT"))
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{version}")
+    fs, current, path = _files(spark, folder)
+    temporary = path(f"{folder}/.{version}")
+    out = fs.create(temporary, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), spark._jsc.hadoopConfiguration())
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fs.makeQualified(temporary), fs.makeQualified(current), options)
 
 
 def merge_stream(stream: DataFrame, folder: str, manifest: list[Rule], order: str, rebuild: str, checkpoint: str, on_affected=None) -> StreamingQuery:
@@ -42,10 +54,10 @@ def merge_stream(stream: DataFrame, folder: str, manifest: list[Rule], order: st
         spark = batch.sparkSession
         new = latest(batch, keys, [F.col(order).desc_nulls_last()])
         old = published(spark, folder)
-        merged = merge(old if old is not None else spark.createDataFrame([], batch.schema), new, manifest).persist()
+        merged = merge(old if old is not None else spark.createDataFrame([], batch.schema), new, manifest, (rebuild,)).persist()
         if on_affected is not None:
             on_affected(affected(merged, rebuild))
-        publish(merged.drop("_change"), folder)
+        publish(merged.drop("_change", f"_was_{rebuild}"), folder)
         merged.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
