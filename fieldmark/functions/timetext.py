@@ -18,8 +18,6 @@ import pyarrow.compute as pc
 
 from fieldmark.functions.zones import ABBREVIATIONS
 
-#: A text longer than this is no timestamp.
-LONGEST = 64
 #: English month names by their first three letters.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -36,14 +34,14 @@ _DATE = (
     r"@ ?(?P<d5>99?),? (?P<y5>9999)|(?P<y6>9999)[- ]@[- ](?P<d6>99?))"
 )
 _TIME = (
-    r"(?:(?P<h1>99?)[:.](?P<i1>99)(?:[:.](?P<s1>99)(?:[.,](?P<f1>9{1,9}))?)?(?: ?(?P<p1>P))?|"
+    r"(?:(?P<h1>99?)[:.](?P<i1>99)(?:[:.](?P<s1>99)(?:[.,](?P<f1>9+))?)?(?: ?(?P<p1>P))?|"
     r"(?P<h2>99)(?P<i2>99)(?P<s2>99)?|(?P<h3>9)(?P<i3>99)|(?P<h4>99?) ?(?P<p4>P))"
 )
 _ZONE = r"(?: ?(?P<z>Z)| ?(?P<sign>[-+])(?P<zh>99):?(?P<zm>99)?|(?P<r>R))?"
 _SHAPES = [re.compile(x) for x in (_DATE, _TIME + _ZONE, _DATE + r"(?:t|,? )" + _TIME + _ZONE, r"(?P<e>9{10}|9{13}|9{16}|9{19})")]
 
 
-@lru_cache(maxsize=65536)
+@lru_cache(maxsize=4096)
 def compile_mask(mask: str) -> dict[str, tuple[int, int]] | None:
     """Where each field of a mask lies, by name without the number of its form; None for no timestamp."""
     for shape in _SHAPES:
@@ -60,7 +58,6 @@ def read(texts: pd.Series) -> pd.DataFrame:
     """One row for each text: day (days since 1970), sod_us (microseconds of the day), offset_s,
     region, epoch_us; a part that the text does not state, or states impossibly, is null."""
     low = pc.utf8_trim_whitespace(pc.utf8_lower(pa.Array.from_pandas(texts, type=pa.string())))
-    low = pc.if_else(pc.less_equal(pc.utf8_length(low), LONGEST), low, pa.scalar(None, pa.string()))
     region, month = _words(low, _REGION), _words(low, _MONTH).str[:3].map({m: k + 1 for k, m in enumerate(MONTHS)})
     s = pc.replace_substring_regex(low, _REGION, "R")
     s = pc.replace_substring_regex(pc.replace_substring_regex(s, _MONTH, "@"), _DAY, "W")
@@ -113,7 +110,9 @@ def read(texts: pd.Series) -> pd.DataFrame:
             if "p" in spec:
                 good &= (h >= 1) & (h <= 12)
                 h = h % 12 + 12 * (half.to_numpy()[at] == "p")
-            us = number("f") * 10 ** (6 - spec["f"][1] + spec["f"][0]) if "f" in spec and spec["f"][1] - spec["f"][0] <= 6 else number("f") // 10 ** max(0, (spec["f"][1] - spec["f"][0] if "f" in spec else 6) - 6)
+            # digits beyond the microsecond say nothing here, however many there are
+            digits = min(6, spec["f"][1] - spec["f"][0]) if "f" in spec else 0
+            us = number("f", 0, spec | {"f": (spec["f"][0], spec["f"][0] + digits)}) * 10 ** (6 - digits) if digits else 0
             out["sod_us"][at] = np.where(good, ((h * 60 + i) * 60 + sec) * 1_000_000 + us, np.nan)
         if "z" in spec:
             out["offset_s"][at] = zone.to_numpy(dtype=float)[at] * 60

@@ -6,7 +6,7 @@ Method: every text's character-class mask selects a parser that is compiled once
 broadcast, and each row depends on itself only.
 
 Defined results, in the ``status`` of each row: ``ok``; ``missing`` (null or empty text);
-``unreadable`` (no known shape, impossible field values, or over 64 characters); ``no_date`` or
+``unreadable`` (no known shape, or impossible field values); ``no_date`` or
 ``no_time`` (a part is missing); ``no_zone`` (wall time without any known zone); ``twice`` and
 ``never`` (the wall time occurs twice or never in its zone). ``epoch_us`` is null unless ``ok``.
 """
@@ -38,12 +38,13 @@ def _resolve(parts: pd.DataFrame, zones: pd.Series, missing: np.ndarray, version
     rest = np.where(wall, np.nan_to_num(sod) % 1_000_000, 0).astype(np.int64)
     with_offset = wall & ~np.isnan(offset)
     value[with_offset] = (wall_s[with_offset] - offset[with_offset].astype(np.int64)) * 1_000_000 + rest[with_offset]
-    own = parts["region"].to_numpy(dtype=object)
-    named = np.array([r is not None and r == r for r in own], dtype=bool)
-    names = np.array([zone_name(o if has else (z if isinstance(z, str) else None)) for o, has, z in zip(own, named, zones, strict=True)], dtype=object)
+    # each distinct zone is looked up once; a zone in the text holds before the one given
+    code, distinct = pd.factorize(parts["region"].where(parts["region"].notna(), zones.where(zones.notna(), None).reset_index(drop=True)))
+    known = np.array([*(zone_name(z) for z in distinct), None], dtype=object)
+    names = known[code]
     open_ = wall & ~with_offset
-    unknown = open_ & np.array([x is None for x in names], dtype=bool)
-    for name in {x for x, o in zip(names, open_ & ~unknown, strict=True) if o}:
+    unknown = open_ & np.array([x is None for x in known], dtype=bool)[code]
+    for name in pd.unique(names[open_ & ~unknown]):
         at = np.flatnonzero(open_ & (names == name))
         seconds, count = wall_to_epoch(wall_s[at], name, version)
         value[at] = seconds * 1_000_000 + rest[at]
