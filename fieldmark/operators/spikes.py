@@ -35,9 +35,10 @@ BOUNDS = {"temp_c": (-90.0, 57.0), "wind_gust_kmh": (0.0, 410.0), "precip_mm": (
 FIELDS = tuple(BOUNDS)
 #: Readings that must repeat for a stuck sensor.
 RUN = 5
-BLOCK, ITERATIONS = 20_000, 5
-#: Each iteration reads two neighbours' replaced values on each side.
-HALO = max(RUN, 2 * ITERATIONS + 2)
+#: Rows of a block, and passes before blocks get their neighbours' rows anew.
+BLOCK, PASSES = 20_000, 5
+#: Each pass reads two neighbours' replaced values on each side.
+HALO = max(RUN, 2 * PASSES + 2)
 #: Times the universal threshold sqrt(2 ln n): departures of weather have longer tails than the normal law it is made for.
 WIDTH = 1.2
 #: Least number of readings of a group that counts in full.
@@ -84,7 +85,7 @@ def phase_space(u: np.ndarray, sigma: tuple[float, float, float, float], slope:
     v, out = u[known].astype(float), np.zeros(len(known), dtype=bool)
     su, sd, s2, sr = (*sigma, 0.0)[:4]
     part = lambda x, s: (x / s) ** 2 if s > 0 else 0 * x
-    for _ in range(ITERATIONS if su > 0 else 0):
+    while su > 0:
         d, d2, most = np.zeros_like(v), np.zeros_like(v), np.abs(v)
         d[1:-1], d2[1:-1] = (v[2:] - v[:-2]) / 2, v[2:] - 2 * v[1:-1] + v[:-2]
         rest = d2 - slope * v
@@ -119,8 +120,13 @@ def spikes(df: DataFrame) -> DataFrame:
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.col(f"_u_{f}").alias("u")) for f in FIELDS]))
     points = df.select(*keys, "_place", fields.alias("x")).select(*keys, "x.*", F.concat_ws("\x1f", "x.field", "_source", "_place").alias("_line")).where("u is not null")
     counts = df.groupBy("_source").agg((WIDTH * F.sqrt(2 * F.log(F.greatest(F.count("*"), F.lit(2))))).alias("width"))
-    state = cut(_placed(in_blocks(points, "_line", ["fetched_at", "match_id", "kind", "_row"], BLOCK, HALO).withColumn("_out", F.lit(False))))
-    for _ in range(ITERATIONS):
+    order = ["fetched_at", "match_id", "kind", "_row"]
+    state = cut(_placed(in_blocks(points.withColumn("_out", F.lit(False)), "_line", order, BLOCK, HALO)))
+    passes = 0
+    while True:
+        if passes == PASSES:
+            # what was replaced beyond a block's halo may by now reach its rows
+            state, passes = cut(_placed(in_blocks(state.where("_core").select(*points.columns, "_out"), "_line", order, BLOCK, HALO))), 0
         left = state.where("_core AND NOT _out")
         # the slope of second difference on value, by medians: spikes would turn a least-squares slope
         slope = F.coalesce(F.percentile_approx(F.when(F.abs("_v") > 0, F.col("_dd") / F.col("_v")), 0.5, 1000), F.lit(0.0))
@@ -133,6 +139,7 @@ def spikes(df: DataFrame) -> DataFrame:
         new = ~F.col("_out") & (F.col("su") > 0) & ((F.abs("_v") > F.col("width") * F.col("su")) | (outside & (F.abs("_v") >= F.col("_most"))))
         marked = state.join(known, ["_source", "field"], "left").withColumn("_new", F.coalesce(new, F.lit(False))).withColumn("_out", F.col("_out") | F.col("_new"))
         state = cut(_placed(marked.select(*points.columns, "_index", "_block", "_core", "_out", "_new")))
+        passes += 1
         if state.where("_core AND _new").isEmpty():
             break
     return state.where("_core AND _out").select(*keys[:-1], "field", "value")
