@@ -1,14 +1,14 @@
 """Column-level data quality profile, over all rows and per load.
 
-Method: exact nulls and extrema come from the footers, distinct counts from the dictionary pages,
-both without a scan (:mod:`fieldmark.sources.footers`). What footers cannot state is scanned, and
-only there: columns whose chunks lack exact statistics or a complete dictionary; rows of files whose
-extrema leave room for a violation; loads that share a file with other loads. The scan reads the
-columns concerned only.
+Method: exact nulls and extrema come from the footers, distinct counts and the extrema of texts and
+fractions from the dictionary pages, both without a scan; a chunk of which neither tells enough is
+scanned on its own (:mod:`fieldmark.sources.footers`). Beyond that are scanned only: columns with a rule
+or pattern that the extrema leave room to break; rows of files whose extrema leave that room; and
+loads, as loads share chunks. The scan reads the columns concerned only.
 
 Defined results: an empty table has 0 rows and null shares of null; columns of nulls only have null
 extrema and 0 distinct values; rows with a null load number belong to no load; text extrema are
-scanned, and ordered by bytes. Repeated rows count as often as they occur.
+ordered by bytes. Repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.plans.lineage import cut
 from fieldmark.sources.footers import footers
 
 #: Steps of the pooled distribution at which loads are compared.
@@ -57,54 +58,43 @@ class Source:
 
 
 def column_profile(spark: SparkSession, source: Source) -> DataFrame:
-    """(table_name, column_name, n_rows, nulls, null_share, distinct_values, distinct_exact, lo, hi,
-    violations, scanned) for every column. lo and hi are text; violations of patterns and rules are
-    null where none is stated; scanned says that the column was read."""
+    """(table_name, column_name, n_rows, nulls, null_share, distinct_values, lo, hi, violations, chunks,
+    scanned_chunks) for every column. lo and hi are text; violations of patterns and rules are null where
+    none is stated and are counted by a scan of their columns, unless the extrema leave no room for any.
+    scanned_chunks of the chunks had to be read for the rest."""
     df = spark.read.parquet(source.path)
-    stated = footers(spark, source.path)
-    per_column = stated.groupBy("column").agg(
-        F.sum("rows").alias("n_rows"),
-        F.when(F.count_if(F.col("nulls").isNull()) == 0, F.sum("nulls")).alias("nulls"),
-        F.when(F.count_if(F.col("lo").isNull() & ~(F.coalesce(F.col("nulls"), F.lit(-1)) == F.col("rows"))) == 0, F.min("lo")).alias("lo"),
-        F.max("hi").alias("hi"),
-        F.bool_and("dictionary").alias("complete"),
-    )
-    known = {r["column"]: r for r in per_column.collect()}  # one row for each column
-    distinct = stated.where("dictionary").select("column", F.explode("hashes").alias("h")).groupBy("column").agg(F.count_distinct("h").alias("n"))
-    exact = {r["column"]: r["n"] for r in distinct.collect()}
     types = dict(df.dtypes)
-    integer = {c for c, t in types.items() if t in ("tinyint", "smallint", "int", "bigint")}
+    stated = cut(footers(spark, source.path))
+    distinct = stated.select("column", F.explode("hashes").alias("h")).distinct().groupBy("column").agg(F.count("*").alias("distinct_values"))
+    per_column = stated.groupBy("column").agg(
+        F.sum("rows").alias("n_rows"), F.sum("nulls").alias("nulls"), F.count("*").alias("chunks"), F.count_if("scanned").alias("scanned_chunks"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.min("lo_real").alias("lo_real"), F.max("hi_real").alias("hi_real"), F.min("lo_text").alias("lo_text"), F.max("hi_text").alias("hi_text"),
+    )
+    known = {r["column"]: r for r in per_column.join(distinct, "column", "left").collect()}  # one row for each column
     rules, patterns = {r.column: r for r in source.rules}, dict(source.patterns)
-    aggregates, scanned = [], set()
+    aggregates = []
     for c in df.columns:
         k = known.get(c)
-        if k is None:
-            continue
-        if k["nulls"] is None:
-            aggregates.append(F.count_if(F.col(c).isNull()).alias(f"nulls:{c}"))
-            scanned.add(c)
-        if c not in integer or k["lo"] is None:
-            aggregates += [F.min(c).cast("string").alias(f"lo:{c}"), F.max(c).cast("string").alias(f"hi:{c}")]
-            scanned.add(c)
-        if not k["complete"]:
-            aggregates.append(F.approx_count_distinct(c, 0.01).alias(f"distinct:{c}"))
-            scanned.add(c)
-        if c in rules and not (isinstance(rules[c].high, int | float) and k["lo"] is not None and k["lo"] >= rules[c].low and k["hi"] <= rules[c].high):
+        roomless = c in rules and isinstance(rules[c].high, int | float) and k is not None and k["lo"] is not None and k["lo"] >= rules[c].low and k["hi"] <= rules[c].high
+        if c in rules and not roomless:
             aggregates.append(F.count_if(rules[c].broken()).alias(f"bad:{c}"))
-            scanned.add(c)
-        if c in patterns:
+        elif c in patterns:
             aggregates.append(F.count_if(~F.col(c).rlike(patterns[c])).alias(f"bad:{c}"))
-            scanned.add(c)
     got = df.agg(*aggregates).first().asDict() if aggregates else {}
     rows = []
     for c in df.columns:
         k = known.get(c)
-        n, nulls = (k["n_rows"], got.get(f"nulls:{c}", k["nulls"])) if k else (0, 0)
-        lo, hi = (got[f"lo:{c}"], got[f"hi:{c}"]) if f"lo:{c}" in got else (str(k["lo"]), str(k["hi"])) if k and k["lo"] is not None else (None, None)
-        bad = got.get(f"bad:{c}", 0 if c in rules and k else None)
-        rows.append((source.name, c, n, nulls, nulls / n if n else None, got.get(f"distinct:{c}", exact.get(c, 0)), f"distinct:{c}" not in got, lo, hi, bad, c in scanned))
-    schema = "table_name string, column_name string, n_rows long, nulls long, null_share double, distinct_values long, distinct_exact boolean, lo string, hi string, violations long, scanned boolean"
-    return spark.createDataFrame(rows, schema)
+        bad = got.get(f"bad:{c}", 0 if c in rules or c in patterns else None)
+        whole = (k["n_rows"], k["nulls"], k["chunks"], k["scanned_chunks"]) if k else (0, 0, 0, 0)
+        extrema = (k["lo"], k["hi"], k["lo_real"], k["hi_real"], k["lo_text"], k["hi_text"]) if k else (None,) * 6
+        rows.append((source.name, c, types[c], *whole, (k["distinct_values"] if k else 0) or 0, *extrema, bad))
+    schema = "table_name string, column_name string, type string, n_rows long, nulls long, chunks long, scanned_chunks long, distinct_values long, lo long, hi long, lo_real double, hi_real double, lo_text string, hi_text string, violations long"
+    out = spark.createDataFrame(rows, schema)
+    time, day = F.col("type").startswith("timestamp"), F.col("type") == "date"
+    whole = lambda side: F.coalesce(F.when(time, F.timestamp_micros(side).cast("string")).when(day, F.date_add(F.lit("1970-01-01").cast("date"), F.col(side).cast("int")).cast("string")), F.col(side).cast("string"))
+    lo, hi = F.coalesce(whole("lo"), F.col("lo_real").cast("string"), "lo_text").alias("lo"), F.coalesce(whole("hi"), "hi_text", F.col("hi_real").cast("string")).alias("hi")
+    share = F.col("nulls") / F.nullif("n_rows", F.lit(0))
+    return out.select("table_name", "column_name", "n_rows", "nulls", share.alias("null_share"), "distinct_values", lo, hi, "violations", "chunks", "scanned_chunks")
 
 
 def _integer(kind: str) -> bool:
@@ -159,7 +149,7 @@ def broken_rows(spark: SparkSession, source: Source) -> DataFrame:
     leave room are opened; their list is a part of the listing that the driver holds for any read."""
     schema = spark.read.parquet(source.path).schema
     names = {r.column for r in source.rules} | {r.high for r in source.rules if isinstance(r.high, str)}
-    stated = footers(spark, source.path, names)
+    stated = cut(footers(spark, source.path, names, values=False))
     out = []
     for rule in source.rules:
         files = [r.file for r in suspicious_files(stated, rule).collect()]
@@ -187,7 +177,7 @@ def load_departures(spark: SparkSession, source: Source, columns: list[str] | No
         pairs += [F.struct(F.lit(c + tag).alias("c"), x.alias("x"), kept.alias("ok")) for tag, x in positions]
     values = df.select(F.col(source.load).cast("long").alias("load_no"), F.explode(F.array(*pairs)).alias("p"))
     # tallied by value before anything is shuffled
-    tally = values.groupBy("load_no", "p.c", "p.x", "p.ok").agg(F.count("*").alias("n"))
+    tally = cut(values.groupBy("load_no", "p.c", "p.x", "p.ok").agg(F.count("*").alias("n")))
     shares = tally.groupBy("c", "load_no").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("n"))
     kept = tally.where("ok")
     steps = F.array(*[F.lit(k / BINS) for k in range(1, BINS + 1)])

@@ -3,8 +3,9 @@
 Footers are read by the executors, one task a group of files, through the distributed file listing
 of the binaryFile source without its content column. Nulls and extrema of a chunk count only where
 the writer stored them in a form that is exact: text extrema may be shortened by a writer and those
-of floating point ignore NaN, so neither is taken. A chunk's distinct values are those of its
-dictionary page if every data page refers to the dictionary.
+of floating point ignore NaN, so neither is taken. A chunk's distinct values, and with them its exact
+extrema, are those of its dictionary page if every data page refers to the dictionary. A chunk of
+which neither tells enough is scanned, on its own: the column's other chunks are not.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "file string, row_group int, column string, type string, rows long, nulls long, lo long, hi long, bytes long, dictionary boolean, hashes array<long>"
-#: Dictionaries over this many entries count as none: the writer's own limit (1 MB a page) is near it.
-LARGEST_DICTIONARY = 200_000
+SCHEMA = "file string, row_group int, column string, type string, rows long, nulls long, lo long, hi long, lo_real double, hi_real double, lo_text string, hi_text string, bytes long, scanned boolean, hashes array<long>"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _WIDTHS = {"INT32": np.dtype("<i4"), "INT64": np.dtype("<i8"), "FLOAT": np.dtype("<f4"), "DOUBLE": np.dtype("<f8")}
 _CODECS = {"SNAPPY": "snappy", "ZSTD": "zstd", "GZIP": "gzip", "BROTLI": "brotli", "LZ4_RAW": "lz4_raw"}
 
@@ -105,8 +105,6 @@ def dictionary_values(f, chunk) -> np.ndarray | list[bytes] | None:
         body, size = at + reader.at, page[3]
         if page[1] == 2:
             n = page[7][1]
-            if n > LARGEST_DICTIONARY:
-                return None
             f.seek(body)
             raw = f.read(size)
             raw = raw if codec is None else pa.Codec(codec).decompress(raw, decompressed_size=page[2]).to_pybytes()
@@ -128,41 +126,91 @@ def dictionary_values(f, chunk) -> np.ndarray | list[bytes] | None:
     return values
 
 
+def scanned_values(file: pq.ParquetFile, group: int, column: str) -> tuple[np.ndarray | list[bytes], int]:
+    """(distinct values in their stored form, nulls) of a chunk, read whole."""
+    data = file.read_row_group(group, columns=[column]).column(0)
+    nulls, distinct = data.null_count, data.unique().drop_null()
+    kind = distinct.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return distinct.cast(pa.binary()).to_pylist(), nulls
+    if pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return distinct.to_pylist(), nulls
+    if pa.types.is_floating(kind) or pa.types.is_integer(kind):
+        # smaller integers are stored as 32 bits
+        width = kind.to_pandas_dtype() if kind.bit_width in (32, 64) else np.int32
+        return distinct.to_numpy().astype(width), nulls
+    if pa.types.is_temporal(kind):
+        return distinct.cast(pa.int64() if kind.bit_width == 64 else pa.int32()).to_numpy(), nulls
+    return [str(x).encode() for x in distinct.to_pylist()], nulls
+
+
 def _hashes(values: np.ndarray | list[bytes]) -> list[int]:
     import xxhash
 
     raw = values if isinstance(values, list) else [x.tobytes() for x in values]
-    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in raw]
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in set(raw)]
+
 
+def _extrema(values: np.ndarray | list[bytes]) -> dict[str, object]:
+    """The least and greatest of a chunk's values, by kind. NaN, the greatest number in Spark, is given
+    as text: as a number it would arrive as null."""
+    if not len(values):
+        return {}
+    if isinstance(values, list):
+        low, high = min(values).decode(errors="replace"), max(values).decode(errors="replace")
+        return {"lo_text": low, "hi_text": high}
+    if values.dtype.kind == "f":
+        real = values[~np.isnan(values)]
+        out = {"lo_real": float(real.min()), "hi_real": float(real.max())} if len(real) else {"lo_text": "NaN"}
+        return out if len(real) == len(values) else out | {"hi_text": "NaN"}
+    return {"lo": int(values.min()), "hi": int(values.max())}
 
-def _footer_rows(path: str, columns: set[str] | None) -> Iterator[tuple]:
+
+def _footer_rows(path: str, columns: set[str] | None, values: bool) -> Iterator[dict]:
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
     with system.open_input_file(inner) as f:
-        meta = pq.ParquetFile(f).metadata
+        file = pq.ParquetFile(f)
+        meta = file.metadata
         for g in range(meta.num_row_groups):
             group = meta.row_group(g)
             for c in range(group.num_columns):
                 chunk = group.column(c)
-                if columns is not None and chunk.path_in_schema not in columns:
+                name = chunk.path_in_schema
+                if columns is not None and name not in columns:
                     continue
                 s = chunk.statistics if chunk.is_stats_set else None
-                nulls = s.null_count if s is not None and s.has_null_count else None
-                exact = s is not None and s.has_min_max and isinstance(s.min_raw, int)
-                values = dictionary_values(f, chunk)
-                yield path, g, chunk.path_in_schema, chunk.physical_type, group.num_rows, nulls, s.min_raw if exact else None, s.max_raw if exact else None, chunk.total_compressed_size, values is not None, None if values is None else _hashes(values)
-
-
-def footers(spark: SparkSession, path: str, columns: set[str] | None = None) -> DataFrame:
-    """One row for each file, row group and column (all, or those named) of the Parquet data at ``path``."""
+                row = dict.fromkeys(NAMES) | {"file": path, "row_group": g, "column": name, "type": chunk.physical_type, "rows": group.num_rows, "bytes": chunk.total_compressed_size, "scanned": False}
+                row["nulls"] = s.null_count if s is not None and s.has_null_count else None
+                if s is not None and s.has_min_max and isinstance(s.min_raw, int) and not isinstance(s.min_raw, bool):
+                    row["lo"], row["hi"] = s.min_raw, s.max_raw
+                nested = "." in name
+                if values and not nested:
+                    found = dictionary_values(f, chunk)
+                    if found is None or row["nulls"] is None:
+                        row["scanned"] = True
+                        found, row["nulls"] = scanned_values(file, g, name)
+                    row["hashes"] = _hashes(found)
+                    row |= _extrema(found)
+                elif (row["nulls"] is None or (row["lo"] is None and row["nulls"] != group.num_rows)) and not nested and chunk.physical_type in _WIDTHS:
+                    # the footer says too little even for extrema
+                    row["scanned"] = True
+                    found, row["nulls"] = scanned_values(file, g, name)
+                    row |= _extrema(found)
+                yield row
+
+
+def footers(spark: SparkSession, path: str, columns: set[str] | None = None, values: bool = True) -> DataFrame:
+    """One row for each file, row group and column (all, or those named) of the Parquet data at ``path``.
+    With ``values``, hashes of its distinct values and extrema of any type; without, nulls and extrema
+    of numbers only, mostly from the footer alone."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             for p in batch["path"]:
-                rows = list(_footer_rows(p, columns))
+                rows = list(_footer_rows(p, columns, values))
                 if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"nulls": "Int64", "lo": "Int64", "hi": "Int64"})
+                    yield pd.DataFrame([tuple(r.values()) for r in rows], columns=NAMES, dtype=object).astype({"nulls": "Int64", "lo": "Int64", "hi": "Int64", "lo_real": "float64", "hi_real": "float64"})
 
     return spark.read.format("binaryFile").load(path).select("path").repartition(spark.sparkContext.defaultParallelism).mapInPandas(read, SCHEMA)

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,12 +20,31 @@ def test_dictionaries_are_the_distinct_values(spark, tmp_path, compression, vers
     assert len(rows) == 16
     for c in ("a", "s", "d"):
         of = [r for r in rows if r.column == c]
-        assert all(r.dictionary for r in of)
+        assert not any(r.scanned for r in of)
         assert len({h for r in of for h in r.hashes}) == t[c].drop_null().unique().__len__()
         assert sum(r.nulls for r in of) == t[c].null_count
-    assert not any(r.dictionary for r in rows if r.column == "u")
+    # a chunk without a dictionary is read on its own
+    u = [r for r in rows if r.column == "u"]
+    assert all(r.scanned for r in u) and len({h for r in u for h in r.hashes}) == 5000
+    assert not any(r.scanned for r in footers(spark, f"{tmp_path}/t.parquet", values=False).collect() if r.column in ("a", "u"))
     assert (min(r.lo for r in rows if r.column == "u"), max(r.hi for r in rows if r.column == "u")) == (0, 4999)
     assert all(r.lo is None for r in rows if r.column in ("s", "d"))
+    assert min(r.lo_text for r in rows if r.column == "s") == "v0" and max(r.hi_real for r in rows if r.column == "d") == 1.5
+
+
+def test_some_chunks_without_dictionary_and_odd_values(spark, tmp_path):
+    os.mkdir(f"{tmp_path}/m.parquet")
+    base = {"id": [1, 2, 3], "x": [1.5, float("nan"), None], "s": ["é", "", None], "b": [True, None, True], "t": pd.to_datetime(["2024-01-02", None, "2024-01-01"]).astype("datetime64[us]"), "n": pd.array([None] * 3, dtype="Int64")}
+    for k, dictionary in enumerate((True, False)):
+        f = pd.DataFrame(base).assign(id=[1 + k, 2 + k, 3 + k], x=[1.5, -2.0, None] if k else base["x"])
+        t = pa.Table.from_pandas(f, preserve_index=False)
+        t = t.set_column(t.column_names.index("x"), "x", pa.array([*f["x"][:2], None], from_pandas=False))
+        pq.write_table(t, f"{tmp_path}/m.parquet/{k}.parquet", use_dictionary=dictionary)
+    p = {r.column_name: r for r in profile.column_profile(spark, profile.Source("m", f"{tmp_path}/m.parquet")).collect()}
+    assert (p["id"].distinct_values, p["id"].lo, p["id"].hi, p["id"].chunks, p["id"].scanned_chunks) == (4, "1", "4", 2, 1)
+    assert (p["x"].distinct_values, p["x"].lo, p["x"].hi, p["x"].nulls) == (3, "-2.0", "NaN", 2)
+    assert (p["s"].distinct_values, p["s"].lo, p["s"].hi) == (2, "", "é") and p["b"].distinct_values == 1
+    assert (p["t"].lo, p["t"].hi, p["n"].nulls, p["n"].distinct_values) == ("2024-01-01 00:00:00", "2024-01-02 00:00:00", 6, 0)
 
 
 def write(tmp_path, pdf, name="t", groups=400):
@@ -51,8 +72,8 @@ def test_rows_and_loads(spark, tmp_path):
     got = {tuple(r)[2:] for r in profile.p3_found(spark, [source]).collect()}
     assert got == {("row", 7), ("row", 900), ("load", 2), ("load", 5)}
     p = {r.column_name: r for r in profile.column_profile(spark, source).collect()}
-    assert p["x"].nulls == int(f.x.isna().sum()) and (p["x"].lo, p["x"].hi) == ("-1", "99") and p["x"].distinct_values == f.x.nunique() and p["x"].distinct_exact
-    assert p["x"].violations == 2 and p["s"].violations == 0 and p["s"].lo == "ok" and not p["cap"].scanned
+    assert p["x"].nulls == int(f.x.isna().sum()) and (p["x"].lo, p["x"].hi) == ("-1", "99") and p["x"].distinct_values == f.x.nunique()
+    assert p["x"].violations == 2 and p["s"].violations == 0 and p["s"].lo == "ok" and p["cap"].scanned_chunks == 0
     assert profile.load_profile(spark, source).where("column_name = 'x' AND load_no = 5").first().nulls >= 140
 
 
@@ -76,8 +97,6 @@ def test_only_suspicious_files_are_opened(spark, tmp_path):
         f = loads(k)
         f.loc[0, "x"] = top
         write(tmp_path, f, f"d{k}")
-    import os
-
     os.mkdir(f"{tmp_path}/d.parquet")
     for k in (0, 1):
         os.rename(f"{tmp_path}/d{k}.parquet", f"{tmp_path}/d.parquet/p{k}.parquet")
