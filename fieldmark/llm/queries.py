@@ -30,12 +30,13 @@ def p2_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.p5_found(survivors.confirm(read_table(spark, d, "players"), _people(spark, d))[0])
+    return survivors.p5_found(survivors.confirm(read_table(spark, d, "players"), _people(spark, d)))
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     """One record a person, of the groups as confirmed."""
-    return survivors.confirm(read_table(spark, d, "players"), _people(spark, d))[1]
+    players = read_table(spark, d, "players")
+    return survivors.survivors(players, cut(survivors.confirm(players, _people(spark, d))))
 
 
 def p5_lines(spark: SparkSession, d: str) -> DataFrame:

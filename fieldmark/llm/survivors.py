@@ -227,17 +227,17 @@ def survivors(players: DataFrame, people: DataFrame) -> DataFrame:
     return single.unionByName(whole)
 
 
-def confirm(players: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(confirmed, survivors): ``people`` (player_id, person_id) without the members whose record
-    contradicts their group's surviving record, as chains of links may join, and the survivors of those
-    groups. Members that leave a group are a group of their own, which is confirmed in turn. A person's
-    id is the smallest confirmed one."""
+def confirm(players: DataFrame, people: DataFrame) -> DataFrame:
+    """(player_id, person_id): ``people`` without the members whose record contradicts their group's
+    surviving record, as chains of links may join. Members that leave a group are a group of their own,
+    which is confirmed in turn; a record alone confirms itself. A person's id is the smallest confirmed one."""
     fields = (*TEXT_FIELDS, *NUMBER_FIELDS)
     p = players.select(F.col("id").alias("player_id"), *fields).dropDuplicates(["player_id"])
     record = F.struct(F.concat_ws(" ", F.concat("surname", F.lit(",")), "first_name").alias("name"), F.nullif("date_of_birth", F.lit("")).alias("dob"), F.col("height_cm").alias("cm"), F.col("weight_kg").alias("kg"))
-    left, parts = people, []
-    while True:
-        chosen = cut(survivors(players, left))
+    several = people.groupBy("person_id").agg(F.count("*").alias("n")).where("n > 1").select("person_id")
+    left, parts = cut(people.join(several, "person_id").select("player_id", "person_id")), [people.join(several, "person_id", "left_anti").select("player_id", "person_id")]
+    while not left.isEmpty():
+        chosen = survivors(players, left)
         c = chosen.where("records > 1").select("person_id", *[F.col(c).alias(f"c_{c}") for c in fields])
         same = reduce(lambda x, y: x + y, [F.coalesce((F.col(f) == F.col(f"c_{f}")).cast("int"), F.lit(0)) for f in fields])
         m = cut(left.join(p, "player_id").join(c, "person_id").select("player_id", "person_id", record.alias("m"), same.alias("same")))
@@ -250,10 +250,7 @@ def confirm(players: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame
         split = marked.join(sizes.where("out > 0"), "person_id")
         parts.append(marked.join(sizes.where("out > 0").select("person_id"), "person_id", "left_anti").select("player_id", "person_id").unionByName(split.where("fits").select("player_id", F.col("first").alias("person_id"))))
         left = cut(split.where("NOT fits").select("player_id", F.col("next").alias("person_id")))
-        if left.isEmpty():
-            break
-    whole = cut(reduce(DataFrame.unionByName, parts))
-    return whole, chosen if len(parts) == 1 else cut(survivors(players, whole))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def repointed(rows: DataFrame, people: DataFrame) -> DataFrame:
