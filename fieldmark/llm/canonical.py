@@ -4,7 +4,8 @@ Method: every distinct typed token is joined to the reference vocabulary by edit
 (:mod:`fieldmark.llm.segments`); soft TF-IDF over the repaired tokens ranks whole entries. Adjacent
 tokens are also tried as one, on both sides, for blanks typed at the wrong place.
 
-Work is done once for each distinct value, then joined back, so that a value that a third of all
+An entry is ranked for a value if the two share one of the entry's heavy tokens, which its lightest ones
+without them could not make up for. Work is done once for each distinct value, then joined back, so that a value that a third of all
 rows hold costs no more than a rare one.
 
 Defined results: null, empty and filler values, and values of which no token is known, have no
@@ -13,7 +14,7 @@ entry (null); of several entries with the same score the smallest id wins; extra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm.segments import segment_join, typing_edits
@@ -54,7 +55,12 @@ def rank(values: DataFrame, entries: DataFrame) -> DataFrame:
     n = entries.select("name").distinct().count()
     singles = e.where("size(parts) = 1").select("name", "target", "token")
     weights = cut(singles.groupBy("token").agg(F.log(F.lit(1.0 + n) / F.count_distinct("name")).alias("w")))
-    norms = singles.join(weights, "token").groupBy("name", "target").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighed = singles.join(weights, "token")
+    norms = weighed.groupBy("name", "target").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # an entry's lightest tokens, which all together cannot make the least score, bring up no candidate: a
+    # word that many entries share meets only those that hold little else
+    lighter = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("name", "target").orderBy("w", "token"))
+    heavy = weighed.withColumn("lighter", lighter).join(norms, ["name", "target"]).where((F.col("lighter") >= LEAST_SCORE**2 * F.col("norm") ** 2) | (F.col("w") >= LEAST_STRONGEST * F.log(F.lit(1.0 + n)))).select("name", "target", F.col("token").alias("heavy"))
     repaired = segment_join(v.select(F.col("token").alias("text")), e.select(F.col("token").alias("text")))
     # shortened words ("Wal", "Res"): a typed token of three letters or more that begins a reference token
     heads = v.where("size(parts) = 1 AND length(token) >= 3").select(F.col("token").alias("left")).distinct()
@@ -65,7 +71,10 @@ def rank(values: DataFrame, entries: DataFrame) -> DataFrame:
     # a typed token repairs one or, where the blank was lost, two tokens of the entry; two typed tokens
     # as one repair a single token. Two as one against two as one say nothing that they do not say alone.
     hits = v.join(near, F.col("token") == F.col("left")).select("value", "right", "similarity", F.size("parts").alias("n_parts"))
-    matched = hits.join(e.select("name", "target", F.col("token").alias("right"), "parts"), "right").where("NOT (n_parts = 2 AND size(parts) = 2)")
+    entry = e.select("name", "target", F.col("token").alias("right"), "parts")
+    bringing = entry.withColumn("heavy", F.explode("parts")).join(heavy, ["name", "target", "heavy"]).select("name", "target", "right").distinct()
+    candidates = hits.join(bringing, "right").select("value", "name", "target").distinct()
+    matched = candidates.join(hits, "value").join(entry, ["name", "target", "right"]).where("NOT (n_parts = 2 AND size(parts) = 2)")
     best = matched.select("value", "name", "target", "similarity", F.explode("parts").alias("token")).groupBy("value", "name", "target", "token").agg(F.max("similarity").alias("similarity")).join(weights, "token")
     # the typed side: each token weighs what its best repair weighs, an unknown one UNKNOWN of the most
     known = near.join(singles.select("token").distinct().join(weights, "token"), F.col("right") == F.col("token")).groupBy("left").agg(F.max_by("w", "similarity").alias("w"))
@@ -100,7 +109,10 @@ def venue_targets(submitted: DataFrame, venues: DataFrame) -> DataFrame:
     means. Where several venues fit the name about as well, the position decides (also with latitude
     and longitude swapped or a lost sign), else the notes, else the stated canonical id if it is one
     of them; else the name names no single entry and target is null."""
-    canonical = venues.groupBy(F.coalesce("canonical_venue_id", "id").alias("target")).agg(F.avg("latitude").alias("v_lat"), F.avg("longitude").alias("v_lon"), F.concat_ws(" ", F.collect_list(folded(F.col("name")))).alias("v_words"))
+    canonical = venues.groupBy(F.coalesce("canonical_venue_id", "id").alias("target")).agg(F.avg("latitude").alias("v_lat"), F.avg("longitude").alias("v_lon"))
+    # what in a note can mean a venue: words that the names of no other one hold
+    words = venues.select(F.coalesce("canonical_venue_id", "id").alias("target"), F.explode(F.split(folded(F.col("name")), " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.min("target").alias("target"), F.max("target").alias("last")).where("target = last").groupBy("target").agg(F.collect_set("w").alias("v_words"))
+    canonical = canonical.join(words, "target", "left")
     aliases = venues.select(F.col("id").alias("stated_id"), F.coalesce("canonical_venue_id", "id").alias("stated_target"))
     ranked = rank(submitted.select(F.col("name").alias("value")), venues.select("name", F.coalesce("canonical_venue_id", "id").alias("target")))
     top = ranked.where(accepted()).groupBy("value").agg(F.max("score").alias("top"))
@@ -109,7 +121,7 @@ def venue_targets(submitted: DataFrame, venues: DataFrame) -> DataFrame:
     c = rows.join(close, "value")
     lat, lon = F.col("latitude"), F.col("longitude")
     distance = F.least(_km(lat, lon, F.col("v_lat"), F.col("v_lon")), _km(lon, lat, F.col("v_lat"), F.col("v_lon")), _km(-lat, lon, F.col("v_lat"), F.col("v_lon")))
-    noted = F.exists(F.filter(F.split(folded(F.col("notes")), " "), lambda w: ~w.isin("near", "station", "gate", "checked", "by", "hand", "")), lambda w: F.array_contains(F.split("v_words", " "), w))
+    noted = F.arrays_overlap(F.split(folded(F.col("notes")), " "), F.col("v_words"))
     c = c.withColumns({"is_near": F.coalesce(distance <= NEAR_KM, F.lit(False)), "km": distance, "is_noted": F.coalesce(noted, F.lit(False)), "is_stated": F.coalesce(F.col("target") == F.col("stated_target"), F.lit(False))})
     order = F.struct("is_near", F.when(F.col("is_near"), -F.col("km")).otherwise(0.0).alias("closer"), "is_noted", "is_stated", F.round("strongest", 2).alias("s"), "score", -F.col("target"))
     best = c.groupBy("venue_id").agg(F.max_by(F.struct("target", "score", "is_near", "is_noted", "is_stated"), order).alias("b"), F.count("*").alias("n"), F.count_if(F.col("score") == F.col("top")).alias("tied"), F.max(F.round("strongest", 2)).alias("s_top"), F.collect_list(F.round("strongest", 2)).alias("s_all"))
