@@ -71,18 +71,20 @@ def rank(values: DataFrame, entries: DataFrame) -> DataFrame:
     # a typed token repairs one or, where the blank was lost, two tokens of the entry; two typed tokens
     # as one repair a single token. Two as one against two as one say nothing that they do not say alone.
     hits = v.join(near, F.col("token") == F.col("left")).select("value", "right", "similarity", F.size("parts").alias("n_parts"))
+    # one plan with all readers of these tables would need too much of the driver
+    hits = cut(hits)
     entry = e.select("name", "target", F.col("token").alias("right"), "parts")
     bringing = entry.withColumn("heavy", F.explode("parts")).join(heavy, ["name", "target", "heavy"]).select("name", "target", "right").distinct()
-    candidates = hits.join(bringing, "right").select("value", "name", "target").distinct()
+    candidates = cut(hits.join(bringing, "right").select("value", "name", "target").distinct())
     matched = candidates.join(hits, "value").join(entry, ["name", "target", "right"]).where("NOT (n_parts = 2 AND size(parts) = 2)")
     best = matched.select("value", "name", "target", "similarity", F.explode("parts").alias("token")).groupBy("value", "name", "target", "token").agg(F.max("similarity").alias("similarity")).join(weights, "token")
+    dots = cut(best.groupBy("value", "name", "target").agg(F.sum(F.col("w") * F.col("w") * F.col("similarity")).alias("dot"), (F.max(F.col("w") * F.col("similarity")) / F.log(F.lit(1.0 + n))).alias("strongest")))
     # the typed side: each token weighs what its best repair weighs, an unknown one UNKNOWN of the most
     known = near.join(singles.select("token").distinct().join(weights, "token"), F.col("right") == F.col("token")).groupBy("left").agg(F.max_by("w", "similarity").alias("w"))
     v_single, v_pair = v.where("size(parts) = 1").select("value", "token"), v.where("size(parts) = 2")
     # halves of a word with a blank typed into it are no unknown tokens
     healed = v_pair.join(known, F.col("token") == F.col("left")).select("value", F.explode("parts").alias("token"), (F.col("w") / 2).alias("healed")).groupBy("value", "token").agg(F.max("healed").alias("healed"))
     own = v_single.join(known, F.col("token") == F.col("left"), "left").join(healed, ["value", "token"], "left").groupBy("value").agg(F.sqrt(F.sum(F.pow(F.coalesce("w", "healed", F.lit(UNKNOWN) * F.log(F.lit(1.0 + n))), F.lit(2)))).alias("v_norm"))
-    dots = best.groupBy("value", "name", "target").agg(F.sum(F.col("w") * F.col("w") * F.col("similarity")).alias("dot"), (F.max(F.col("w") * F.col("similarity")) / F.log(F.lit(1.0 + n))).alias("strongest"))
     scored = dots.join(norms, ["name", "target"]).join(own, "value").where("norm > 0 AND v_norm > 0").withColumn("score", F.least(F.col("dot") / (F.col("norm") * F.col("v_norm")), F.lit(1.0)))
     return cut(scored.groupBy("value", "target").agg(F.max("score").alias("score"), F.max("strongest").alias("strongest")))
 
