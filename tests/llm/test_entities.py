@@ -59,6 +59,22 @@ def test_near_surnames_lose_no_pair_that_the_verifier_accepts(spark):
     assert {(r.right, r.left) for r in names.near_surnames(right, left).collect()} == want
 
 
+def test_names_of_one_surname_meet_only_where_their_given_names_may_be_one(spark):
+    rng = random.Random(3)
+    forms = sorted({x for full, shorts in names.SHORT_FORMS.items() for x in (full, *shorts.split())})
+    givens = sorted({*forms, *(x for x in typed_like(rng.sample(forms, 80), rng) if x), *"abjrtw"})
+    typed = [f"{g.title()} Henderson" for g in givens] + ["Henderson", "Henderson, Bob", "R. Hendresno", "Hendersen, Robret"]
+    n = spark.createDataFrame([(x,) for x in typed], "name string")
+    texts = spark.createDataFrame([(x,) for x in {x for t in typed for _, x in names.readings(t)}], "text string")
+    near = names.near_surnames(texts, texts)
+    got = {(r.name, r.other) for r in names.near_names(n, n, near).collect()}
+    alike = {(a, b) for a, b in itertools.product(typed, repeat=2) if names.likeness(a, b)}
+    assert alike <= got
+    assert len(got) < 0.3 * len(typed) ** 2
+    # much work on few bytes is not left to one task
+    assert persons._alike(names.near_names(n, n, near)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("a, b", [("Fry", "Frye"), ("Lyons", "Lyosn"), ("Henderson", "Hendresno")])
 def test_links_do_not_depend_on_the_order_of_keys(spark, a, b):
     for first, second in ((a, b), (b, a)):
