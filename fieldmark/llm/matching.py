@@ -159,12 +159,13 @@ def candidates(records: DataFrame, matches: DataFrame, teams: DataFrame) -> Data
     # a record with a null field meets the pairs of all others, and the other way round
     open_left, open_right = (not t.where(some_null).isEmpty() for t in (left, right))
     l_, r_ = _entries(left, ["page", "turned"], F.lit(True) if open_right else some_null), _entries(right, ["match_id"], F.lit(True) if open_left else some_null)
-    met = l_.withColumnsRenamed({f"v_{f}": f"l_v_{f}" for f in FIELDS}).join(r_.withColumnsRenamed({f"v_{f}": f"r_v_{f}" for f in FIELDS}), "entry")
+    # never broadcast: Spark takes a side for as large as its compressed columns before entries were made of them
+    met = l_.withColumnsRenamed({f"v_{f}": f"l_v_{f}" for f in FIELDS}).join(r_.withColumnsRenamed({f"v_{f}": f"r_v_{f}" for f in FIELDS}).hint("merge"), "entry")
     pairs = met.withColumn("differ", _differ()).where(F.col("differ") <= MOST_CHUNKS).groupBy("page", "turned", "match_id").agg(F.min("differ").alias("differ"))
     fields = ("v_date", "v_home", "v_away")
     l1 = left.groupBy("page", "turned").agg(*[F.first(c).alias(f"l{c}") for c in fields], F.collect_set("v_team").alias("l_v"), F.first("teams").alias("l_teams"), F.first("known").alias("known"))
     r1 = right.groupBy("match_id").agg(*[F.first(c).alias(f"r{c}") for c in fields], F.collect_set("v_team").alias("r_v"), F.first("teams").alias("r_teams"))
-    both = pairs.join(l1, ["page", "turned"]).join(r1, "match_id")
+    both = pairs.join(l1.hint("merge"), ["page", "turned"]).join(r1.hint("merge"), "match_id")
     common = F.size(F.array_intersect("l_teams", "r_teams"))
     # teams: the mean over the page's names of the best score of a name of the match
     best = F.aggregate(F.transform("l_v", lambda x: F.array_max(F.transform("r_v", lambda y: _dice(x, y)))), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
@@ -177,10 +178,22 @@ def _features() -> list[Column]:
     return [F.coalesce(F.col(f"d_{f}"), F.lit(0.5)) for f in FEATURES]
 
 
+def least(hashed: DataFrame, n: int) -> DataFrame:
+    """The rows of ``hashed(h)`` up to a bound of ``h``: the n with the least hashes and a 4096th of all or so
+    more, so that an order with a limit, of which every partition sends n rows, has few to send."""
+    bucket, held = F.shiftright("h", 52), 0
+    for b, count in sorted(hashed.groupBy(bucket.alias("b")).count().collect()):
+        held += count
+        if held >= n:
+            return hashed.where(bucket <= b)
+    return hashed
+
+
 def fit(pairs: DataFrame) -> np.ndarray:
     """Weights of the confidence, by logistic regression towards PRIOR on at most MOST_FITTED
     candidate pairs of records whose match is known, in order of a hash."""
-    sample = pairs.where("known is not null").select(*[f.alias(f"x{k}") for k, f in enumerate(_features())], (F.col("known") == F.col("match_id")).cast("double").alias("y"), F.xxhash64("page", "match_id").alias("h")).orderBy("h").limit(MOST_FITTED).toPandas()
+    known = pairs.where("known is not null").select(*[f.alias(f"x{k}") for k, f in enumerate(_features())], (F.col("known") == F.col("match_id")).cast("double").alias("y"), F.xxhash64("page", "match_id").alias("h"))
+    sample = least(known, MOST_FITTED).orderBy("h").limit(MOST_FITTED).toPandas()
     x = np.c_[sample[[f"x{k}" for k in range(len(FEATURES))]].to_numpy(dtype=float), np.ones(len(sample))]
     y, w = sample["y"].to_numpy(dtype=float), PRIOR.copy()
     for _ in range(60):
@@ -203,7 +216,7 @@ def match(observations: DataFrame, teams: DataFrame, matches: DataFrame) -> Data
     best = levels.groupBy("page").agg(F.max(F.struct("confidence", "n", "match_id")).alias("b"))
     # a runner-up as good as the best leaves the record undecided
     chosen = best.where((F.col("b.confidence") >= LEAST_CONFIDENCE) & (F.col("b.n") == 1)).select("page", "b.match_id", "b.confidence")
-    return rows.where("known is null").join(chosen, "page").select(F.col("id").alias("observation_id"), "match_id", "confidence").distinct()
+    return rows.where("known is null").join(chosen.hint("merge"), "page").select(F.col("id").alias("observation_id"), "match_id", "confidence").distinct()
 
 
 def p6_found(matched: DataFrame) -> DataFrame:

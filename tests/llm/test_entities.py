@@ -252,3 +252,20 @@ def test_persons_of_vote_records_and_coaches(spark):
     t = spark.createDataFrame(TEAMS, "id long, name string, abbreviation string, competition_id long")
     got = {tuple(r) for r in persons.p2_found(persons.members(o, ids, b, t, p, stats, people)).collect() if not r.key_a.startswith("bp")}
     assert got == {("id:a:1", "id:f:1"), ("id:a:2", "id:f:2"), ("id:a:2", "ob:900"), ("id:f:1", "ob:901")}
+
+
+def test_the_fitted_sample_is_bounded_before_partitions_send_theirs(spark):
+    hashed = spark.range(0, 200_000, numPartitions=8).withColumn("h", F.xxhash64("id"))
+    few = matching.least(hashed, 500)
+    assert few.count() < 500 + 3 * 200_000 / 4096
+    assert [r.h for r in few.orderBy("h").limit(500).collect()] == [r.h for r in hashed.orderBy("h").limit(500).collect()]
+    assert matching.least(hashed, 300_000).count() == 200_000
+
+
+def test_entries_of_matches_are_not_broadcast(spark):
+    m = spark.createDataFrame([(1, 12023, "2023-04-01", None, 80, 71, 1, 2)], "id long, season_id long, date string, kickoff_at string, home_points int, away_points int, home_team_id long, away_team_id long")
+    t = spark.createDataFrame([(1, "Penbemoor Wolves"), (2, "Nartecombe Owls")], "id long, name string")
+    r = spark.createDataFrame([("p", 2023, dt.date(2023, 4, 1), 80, 71, [1], ["Penbemoor Wolves"], None)], "page string, season int, date date, home_points int, away_points int, teams array<long>, names array<string>, known long")
+    found = matching.candidates(r, m, t)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {(x.page, x.match_id) for x in found.collect()} == {("p", 1)}
