@@ -262,10 +262,13 @@ def test_the_fitted_sample_is_bounded_before_partitions_send_theirs(spark):
     assert matching.least(hashed, 300_000).count() == 200_000
 
 
-def test_entries_of_matches_are_not_broadcast(spark):
+def test_entries_of_matches_are_not_broadcast(spark, tmp_path):
     m = spark.createDataFrame([(1, 12023, "2023-04-01", None, 80, 71, 1, 2)], "id long, season_id long, date string, kickoff_at string, home_points int, away_points int, home_team_id long, away_team_id long")
     t = spark.createDataFrame([(1, "Penbemoor Wolves"), (2, "Nartecombe Owls")], "id long, name string")
     r = spark.createDataFrame([("p", 2023, dt.date(2023, 4, 1), 80, 71, [1], ["Penbemoor Wolves"], None)], "page string, season int, date date, home_points int, away_points int, teams array<long>, names array<string>, known long")
-    found = matching.candidates(r, m, t)
+    # files have a size by which Spark chooses
+    for name, df in (("r", r), ("m", m), ("t", t)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    found = matching.candidates(*(spark.read.parquet(f"{tmp_path}/{name}") for name in "rmt"))
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
     assert {(x.page, x.match_id) for x in found.collect()} == {("p", 1)}
